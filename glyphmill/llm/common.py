@@ -69,6 +69,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return labels.union(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
+def bind(value, f):
+    """f(value) as a column expression in which `value` is evaluated once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def id_filter(ids: DataFrame, bits: int = 1 << 23) -> np.ndarray:
     """A Bloom filter of the long column `id`, `bits` bits whatever the number of ids."""
     spots = ids.select(F.explode(F.array(F.pmod(F.xxhash64("id"), F.lit(bits)), F.pmod(F.xxhash64("id", F.expr("7L")), F.lit(bits)))).alias("p"))
@@ -113,14 +118,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words in `data` (A-Z folded) and the text each lies in; texts begin at `starts`."""
+def word_bounds(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words in `data` begin and end; texts begin at `starts`, and no word crosses one."""
     space = _SPACE[data]
     gap = np.ones(len(data) + 1, bool)  # gap[i]: a word may begin at i or end before it
     gap[1:-1] = space[:-1] | space[1:]
     gap[starts] = True
-    head = np.flatnonzero(gap[:-1] & ~space)
-    tail = np.flatnonzero(gap[1:] & ~space) + 1
+    return np.flatnonzero(gap[:-1] & ~space), np.flatnonzero(gap[1:] & ~space) + 1
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words in `data` (A-Z folded) and the text each lies in; texts begin at `starts`."""
+    head, tail = word_bounds(data, starts)
     up, down = _powers(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((_FOLD[data].astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 from .ngram_join import jaccard_links
+from .mixing import mix
+from .sentences import dedup_sentences
 from .substrings import dedup_substrings
 
 
@@ -30,8 +32,18 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_sentences(_table(spark, sf_dir, "documents"))
+
+
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op5_suffix_array_dedup)}
+    return {f.__name__: f for f in (
+        op1_ngram_jaccard_join, op2_sentence_span_dedup, op5_suffix_array_dedup, op10_source_mixing,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
