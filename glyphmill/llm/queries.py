@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 from .ngram_join import jaccard_links
 from .mixing import mix
+from .quality import judge as judge_quality
+from .quality import train
 from .sentences import dedup_sentences
 from .substrings import dedup_substrings
+from .urls import judge as judge_urls
+from .urls import oracle as urls_oracle
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,11 +44,21 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_table(spark, sf_dir, "pages"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return judge_quality(docs, train(docs, _table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (
-        op1_ngram_jaccard_join, op2_sentence_span_dedup, op5_suffix_array_dedup, op10_source_mixing,
+        op1_ngram_jaccard_join, op2_sentence_span_dedup, op5_suffix_array_dedup, op6_url_filter,
+        op9_quality_rules, op10_source_mixing,
     )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_url_filter": urls_oracle()}
