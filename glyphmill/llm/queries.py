@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 from .ngram_join import jaccard_links
+from .lines import dedup_lines
 from .mixing import mix
 from .quality import judge as judge_quality
 from .quality import train
@@ -48,6 +49,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"))
 
 
+def op8_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(_table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return judge_quality(docs, train(docs, _table(spark, sf_dir, "labels")))
@@ -55,7 +60,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {f.__name__: f for f in (
-        op1_ngram_jaccard_join, op2_sentence_span_dedup, op5_suffix_array_dedup, op6_url_filter,
+        op1_ngram_jaccard_join, op2_sentence_span_dedup, op5_suffix_array_dedup, op6_url_filter, op8_fuzzy_line_dedup,
         op9_quality_rules, op10_source_mixing,
     )}
 
