@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from .neighbours import nearest
 from .ngram_join import jaccard_links
+from .html import extract
 from .lines import dedup_lines
 from .mixing import mix
+from .pieces import MARK, encode
 from .quality import judge as judge_quality
 from .quality import train
 from .sentences import dedup_sentences
@@ -27,6 +30,19 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op3_rotated_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages"))
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = encode(_table(spark, sf_dir, "documents"), keep=("text",))
+    return found.select("doc_id", "n_tokens", "ids", (F.col("decoded") == F.translate("text", MARK, " ")).alias("round_trip"))
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_substrings(_table(spark, sf_dir, "documents"), least=400)
     return found.select(
@@ -60,7 +76,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {f.__name__: f for f in (
-        op1_ngram_jaccard_join, op2_sentence_span_dedup, op5_suffix_array_dedup, op6_url_filter, op8_fuzzy_line_dedup,
+        op1_ngram_jaccard_join, op2_sentence_span_dedup, op3_rotated_bit_codes, op4_html_extraction,
+        op5_suffix_array_dedup, op6_url_filter, op7_sentencepiece, op8_fuzzy_line_dedup,
         op9_quality_rules, op10_source_mixing,
     )}
 
