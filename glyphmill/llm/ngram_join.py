@@ -291,8 +291,12 @@ def verified(texts: DataFrame, pairs: DataFrame, k: int, num: int, den: int) ->
 def one_of_each(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     """docs without near duplicates: of each component the row with the smallest id stays; all columns are kept.
 
-    Of rows that repeat that id with an equal row one stays; rows whose text has no word stay.
+    Rows whose text has no word stay; of rows that repeat an id and a text one stays.
     """
-    found = jaccard_links(docs, threshold=threshold).filter("n_shingles > 0")
+    found = cut(jaccard_links(docs, threshold=threshold).filter("n_shingles > 0").select("doc_id", "component_id"))
     gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates()
+    left = docs.join(gone, "doc_id", "left_anti")
+    twice = found.groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    if twice.isEmpty():
+        return left
+    return left.join(twice, "doc_id", "left_anti").unionByName(left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
