@@ -5,7 +5,8 @@ are common anywhere last, so that the first quarter of a set (its prefix) is mad
 ones: two sets with a Jaccard index of `threshold` or more share one shingle of their
 prefixes at least. Texts with the same prefix and the same size collapse into one group;
 groups, not texts, are joined on prefix shingles, pairs of groups are filtered by size and
-position, and what is left is expanded to members and verified on whole sets.
+position, and what is left is expanded to members and verified on whole sets. A pair of groups is filtered by size, by the place of a shared shingle,
+and by how many shingles of the prefixes are shared at all.
 
 Joining goes in two steps, so that a family of near copies costs no square: first every
 group meets only the most central group of each shingle (one row a posting), and verified
@@ -186,6 +187,10 @@ def jaccard_links(docs: DataFrame, k: int = 5, threshold: float = 0.75, doc_id:
         & (F.least(a["pos"], b["pos"]) + 1 + F.least(a["n"] - a["pos"], b["n"] - b["pos"]) - 1 >= need(a["n"], b["n"]))
     )
 
+    # shared shingles past the prefixes: of the set whose prefix ends first none is beyond its rest
+    rest_of = lambda n: F.ceil(n * F.lit(num) / F.lit(float(den))) - 1
+    enough = F.col("c") + F.greatest(rest_of(F.col("n1")), rest_of(F.col("n2"))) >= need(F.col("n1"), F.col("n2"))
+
     # -- step 1: each group meets the most central group of each of its shingles
     central = postings.groupBy("gid").agg((F.count("*") / F.first("n")).alias("c"))
     hubs = (
@@ -195,7 +200,8 @@ def jaccard_links(docs: DataFrame, k: int = 5, threshold: float = 0.75, doc_id:
     star = (
         postings.join(hubs, "tok").filter("gid <> hub")
         .filter(near({"n": F.col("n"), "pos": F.col("pos")}, {"n": F.col("h.n"), "pos": F.col("h.pos")}))
-        .select("gid", "hub").distinct()
+        .groupBy("gid", "hub").agg(F.count("*").alias("c"), F.min("n").alias("n1"), F.min("h.n").alias("n2"))
+        .filter(enough).select("gid", "hub")
     )
     sets = members.filter("sid is not null").select("gid", "sid", "n").distinct()
     lead = sets.groupBy("gid").agg(F.min("sid").alias("lead"))
@@ -216,7 +222,8 @@ def jaccard_links(docs: DataFrame, k: int = 5, threshold: float = 0.75, doc_id:
     apart = (
         x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.gid") < F.col("y.gid")) & ((F.col("x.lo") != F.col("y.lo")) | (F.col("x.hi") != F.col("y.hi")) | (F.col("x.lo") != F.col("x.hi")))
                & near({"n": F.col("x.n"), "pos": F.col("x.pos")}, {"n": F.col("y.n"), "pos": F.col("y.pos")}))
-        .select(F.col("x.gid").alias("g1"), F.col("y.gid").alias("g2")).distinct()
+        .groupBy(F.col("x.gid").alias("g1"), F.col("y.gid").alias("g2")).agg(F.count("*").alias("c"), F.min("x.n").alias("n1"), F.min("y.n").alias("n2"))
+        .filter(enough).select("g1", "g2")
     )
     one = placed.select(F.col("gid").alias("g1"), F.col("sid").alias("a"), F.col("label").alias("la"))
     two = placed.select(F.col("gid").alias("g2"), F.col("sid").alias("b"), F.col("label").alias("lb"))
