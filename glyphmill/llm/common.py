@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -84,6 +85,13 @@ def id_filter(ids: DataFrame, bits: int = 1 << 23) -> np.ndarray:
     return out
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces, so that what a worker holds beside them stays small."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 # ---- byte-level words and shingles -------------------------------------------------------
 
 _SPACE = np.zeros(256, bool)
@@ -98,7 +106,7 @@ _POWERS: dict[str, np.ndarray] = {}
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     have = _POWERS.get("up")
     if have is None or len(have) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 19)
         for key, base in (("up", _R), ("down", _R_INV)):
             table = np.empty(size, np.uint64)
             table[0] = 1
@@ -139,7 +147,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
 _MULT = [np.uint64(pow(0xD6E8FEB86659FD93, k + 1, 1 << 64) | 1) for k in range(8)]
 
 
-def shingle_sets(texts: pa.Array, k: int = 5, chunk: int = 1 << 20):
+def shingle_sets(texts: pa.Array, k: int = 5, chunk: int = 1 << 18):
     """Yield, for each text, the sorted distinct 64-bit hashes of its k-word shingles.
 
     Fewer words: the whole sequence as one shingle; null or no word: empty. Works on chunks of

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, id_filter, mix, shingle_sets
+from .common import components, cut, id_filter, mix, shingle_sets, slices
 
 #: Shingles that are moved to the end of the global order: so many at most.
 HEAVY = 200_000
@@ -38,7 +38,7 @@ _SIGNED = np.int64
 
 
 def _tokens(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    for batch in batches:
+    for batch in slices(batches):
         yield batch, list(shingle_sets(batch.column(batch.schema.get_field_index("text")), k))
 
 
@@ -154,7 +154,7 @@ def jaccard_links(docs: DataFrame, k: int = 5, threshold: float = 0.75, doc_id:
                     if key not in held:
                         held[key] = (p, len(s), light)
                         count += len(p)
-                        if count > 2_000_000:
+                        if count > 700_000:
                             yield flush()
                             count = 0
         if held:
@@ -281,7 +281,7 @@ def verified(texts: DataFrame, pairs: DataFrame, k: int, num: int, den: int) ->
     )
 
     def check(batches):
-        for batch in batches:
+        for batch in slices(batches):
             sa, sb = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             ok = np.zeros(len(sa), bool)
             for i, (x, y) in enumerate(zip(sa, sb)):

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 MARK = "▁"
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words whose ids a worker remembers between batches.
@@ -233,16 +235,14 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, doc_id: str = "doc_id"
 
     def run(batches):
         pieces = _pieces(raw.value)
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 2000):
-                batch = whole.slice(lo, 2000)
-                ids = pieces.encode(batch.column(1).to_pylist())
-                back = [pieces.decode(x) for x in ids]
-                more = batch.columns[2:]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([None if x is None else len(x) for x in ids], pa.int64()), pa.array(back, pa.string()), *more],
-                    ["doc_id", "ids", "n_tokens", "decoded", *batch.schema.names[2:]],
-                )
+        for batch in slices(batches):
+            ids = pieces.encode(batch.column(1).to_pylist())
+            back = [pieces.decode(x) for x in ids]
+            more = batch.columns[2:]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([None if x is None else len(x) for x in ids], pa.int64()), pa.array(back, pa.string()), *more],
+                ["doc_id", "ids", "n_tokens", "decoded", *batch.schema.names[2:]],
+            )
 
     kinds = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[2:])
     out = rows.mapInArrow(run, f"doc_id long, ids array<int>, n_tokens long, decoded string{kinds}")

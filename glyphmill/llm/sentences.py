@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _powers, cut, mix, word_bounds, word_hashes
+from .common import _powers, cut, mix, slices, word_bounds, word_hashes
 from .substrings import _bloom, _hit, _spots
 
 _END = np.zeros(256, bool)
@@ -59,7 +59,7 @@ def dedup_sentences(docs: DataFrame, min_sentences: int = 3, min_words: int = 20
     rows = rows.withColumn("rid", F.xxhash64("doc_id", "data"))
 
     def hashes(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = [spans_of(np.frombuffer(t.as_buffer(), np.uint8), min_sentences, min_words)[1] for t in batch.column(0)]
             if found:
                 h, n = np.unique(np.concatenate(found), return_counts=True)
@@ -84,7 +84,7 @@ def dedup_sentences(docs: DataFrame, min_sentences: int = 3, min_words: int = 20
     cover = again.groupBy("rid").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
     def cleaned(batches):
-        for batch in batches:
+        for batch in slices(batches):
             total, gone, left = [], [], []
             for t, spans in zip(batch.column(1), batch.column(2).to_pylist()):
                 raw = t.as_buffer()

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bwt import long_matches
-from .common import _powers, cut, mix
+from .common import _powers, cut, mix, slices
 
 GRAM = 64
 HOT = 4096
@@ -118,7 +118,7 @@ def repeated_spans(docs: DataFrame, least: int = 400, hot: int = HOT, block: int
     texts = docs.select(F.xxhash64("data").alias("uid"), "data").filter(F.octet_length("data") >= least)
 
     def anchors(batches):
-        for batch in batches:
+        for batch in slices(batches):
             hs, ns = [], []
             for data, times in _texts(batch).values():
                 h = runs(data, least)[0]
@@ -136,7 +136,7 @@ def repeated_spans(docs: DataFrame, least: int = 400, hot: int = HOT, block: int
 
     def contexts(batches):
         keep, often = many.value
-        for batch in batches:
+        for batch in slices(batches, 2000):
             ctx: dict[tuple, list] = {}
             rows = {c: [] for c in ("bucket", "h", "c", "n", "data", "uid", "a")}
 
@@ -257,7 +257,7 @@ def dedup_substrings(docs: DataFrame, least: int = 400, doc_id: str = "doc_id",
     spans = repeated_spans(rows, least, hot, block)
 
     def cleaned(batches):
-        for b in batches:
+        for b in slices(batches):
             n, runs_, kept = [], [], []
             for data, s in zip(b.column(1), b.column(2).to_pylist()):
                 raw = data.as_buffer()
