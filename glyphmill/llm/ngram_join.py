@@ -32,7 +32,7 @@ from .common import components, cut, id_filter, mix, shingle_sets, slices
 #: Shingles that are moved to the end of the global order: so many at most.
 HEAVY = 200_000
 #: Postings that one task of the inverted index aims at.
-POSTINGS = 1_000_000
+POSTINGS = 250_000
 
 _SIGNED = np.int64
 
