@@ -9,8 +9,15 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+#: Rows of an Arrow batch at most: texts are long, and a batch is held outside the heap.
+BATCH_ROWS = 1000
+
+
 def ship(spark: SparkSession) -> None:
-    """Add the package to the session's Python files; once for each Spark context."""
+    """Add the package to the session's Python files, once for each Spark context; keep Arrow batches small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
     context = spark.sparkContext
     if getattr(context, "_glyphmill_shipped", False):
         return
