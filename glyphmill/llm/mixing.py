@@ -78,7 +78,10 @@ def balance(hist: DataFrame, goal: DataFrame, cap: float, tolerance: float = 1e-
             F.sum(words * F.least("e", F.lit(cap))).alias("got"),
             F.sum(words * F.when(F.col("e") < cap, F.col("e")).otherwise(0.0)).alias("slope"),
         )
-        step = F.when((F.abs(F.col("target") - F.col("got")) > F.col("target") * tolerance) & (F.col("slope") > 0), (F.col("target") - F.col("got")) / F.col("slope")).otherwise(0.0)
+        off = F.abs(F.col("target") - F.col("got")) > F.col("target") * tolerance
+        newton = (F.col("target") - F.col("got")) / F.col("slope")
+        # where every rate is at the cap, the dual is flat: scale back below it
+        step = F.when(off & (F.col("slope") > 0), newton).when(off & (F.col("got") > F.col("target")), F.log(F.col("target") / F.col("got"))).otherwise(0.0)
         sums = cut(sums.select("source", "target", (F.col("lam") + F.greatest(F.lit(-3.0), F.least(F.lit(3.0), step))).alias("lam"), F.abs(step).alias("moved")))
         moved = sums.agg(F.max("moved")).first()[0] or 0.0
         state = sums.drop("moved")
