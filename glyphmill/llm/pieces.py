@@ -20,6 +20,7 @@ except that the mark character itself comes back as a space.
 
 from __future__ import annotations
 
+import itertools
 import re
 from pathlib import Path
 
@@ -82,6 +83,9 @@ class Pieces:
         self.byte_ids = {int(p[3:5], 16): i for i, (p, _, t) in enumerate(vocabulary) if t == 6}
         self.bytes_of = {i: b for b, i in self.byte_ids.items()}
         self.silent = {i for i, (_, _, t) in enumerate(vocabulary) if t == 3}
+        # what a piece shows alone; bytes of longer characters have to be put together
+        self.shown = ["" if i in self.silent else chr(self.bytes_of[i]) if self.bytes_of.get(i, 128) < 128 else p for i, p in enumerate(self.texts)]
+        self.split_bytes = {i for i, b in self.bytes_of.items() if b >= 128}
         # the better a piece's place, the earlier it is merged; equal scores share a place and go from left to right
         usual = {p: (i, -s) for i, (p, s, t) in enumerate(vocabulary) if t in (1, 4)}
         self.ids = {p: i for p, (i, _) in usual.items()}
@@ -165,13 +169,26 @@ class Pieces:
     def learn(self, words: set[str]) -> None:
         """Encode words (a mark at most at the start) that are not known yet."""
         fresh = sorted(w for w in words if w not in self.known)
-        if len(self.known) + len(fresh) > REMEMBERED:
-            self.known.clear()
-            fresh = sorted(words)
         for word, parts in self.forward(fresh):
             self.known[word] = self._ids(parts)
 
     def encode(self, texts: list[str | None]) -> list[list[int] | None]:
+        """The ids of each text. Without runs of spaces a text is its words, each after one mark."""
+        if len(self.known) > REMEMBERED:  # before anything of this batch is learned
+            self.known.clear()
+        split = [None if t is None else t.replace(MARK, " ").split(" ") if t else [] for t in texts]
+        usual = [i for i, ws in enumerate(split) if ws and "" not in ws]
+        self.learn({MARK + w for w in {w for i in usual for w in split[i]} if MARK + w not in self.known})
+        known, out = self.known, [None] * len(texts)
+        chain = itertools.chain.from_iterable
+        for i in usual:
+            out[i] = list(chain([known[MARK + w] for w in split[i]]))
+        seldom = [i for i, ws in enumerate(split) if ws is not None and out[i] is None]
+        for i, ids in zip(seldom, self._with_runs([texts[i] for i in seldom])):
+            out[i] = ids
+        return out
+
+    def _with_runs(self, texts: list[str]) -> list[list[int]]:
         split = [None if t is None else self._WORDS.findall((MARK + t).replace(" ", MARK)) if t else [] for t in texts]
         distinct = {w for ws in split if ws for w in ws}
         cores = {w: w if w[:2] != MARK * 2 else MARK + w.lstrip(MARK) for w in distinct}
@@ -200,6 +217,9 @@ class Pieces:
     def decode(self, ids: list[int] | None) -> str | None:
         if ids is None:
             return None
+        if self.split_bytes.isdisjoint(ids):
+            text = "".join(map(self.shown.__getitem__, ids)).replace(MARK, " ")
+            return text[1:] if text[:1] == " " else text
         texts, as_bytes, silent = self.texts, self.bytes_of, self.silent
         parts: list[str] = []
         held = bytearray()
