@@ -91,7 +91,9 @@ class Pieces:
         self.ids = {p: i for p, (i, _) in usual.items()}
         self.place = {p: s for p, (_, s) in usual.items()}
         self.longest = max(map(len, self.ids), default=1)
-        self.sound: dict[str, bool] = {}
+        self.ends = {p[i:] for p in self.ids for i in range(len(p))}
+        #: pieces that the encoder makes of their own text
+        self.good = {p for p in self.ids if len(p) == 1 or self.merged(p) == [p]}
         self.apart: dict[tuple[str, str], bool] = {}
         self.known: dict[str, tuple[int, ...]] = {}
         self.runs: dict[int, tuple[int, ...]] = {0: ()}
@@ -112,12 +114,6 @@ class Pieces:
             i = best[1]
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
-    def _sound(self, piece: str) -> bool:
-        ok = self.sound.get(piece)
-        if ok is None:
-            ok = self.sound[piece] = len(piece) == 1 or self.merged(piece) == [piece]
-        return ok
-
     def _apart(self, a: str, b: str) -> bool:
         ok = self.apart.get((a, b))
         if ok is None:
@@ -130,7 +126,7 @@ class Pieces:
         """(word, pieces) for sorted words, along their trie; `last[i]` is the last piece of the prefix of i characters."""
         last: list[str] = [""]
         before = ""
-        place, longest = self.place, self.longest
+        good, longest, ends, known, apart = self.good, self.longest, self.ends, self.apart, self._apart
         for word in words:
             n = min(len(before), len(word))
             shared = 0
@@ -138,13 +134,21 @@ class Pieces:
                 shared += 1
             del last[shared + 1 :]
             for i in range(shared + 1, len(word) + 1):
-                for lo in range(max(0, i - longest), i):
+                found = None
+                for lo in range(i - 1, max(0, i - longest) - 1, -1):
                     piece = word[lo:i]
-                    if (piece in place or lo == i - 1) and self._sound(piece) and (not lo or self._apart(last[lo], piece)):
-                        last.append(piece)
+                    if piece not in ends and lo < i - 1:
+                        break  # no piece ends like this, so no longer one does
+                    if piece in good or lo == i - 1:
+                        if lo:
+                            pair = (last[lo], piece)
+                            if not (known[pair] if pair in known else apart(*pair)):
+                                continue
+                        found = piece
                         break
-                else:
+                if found is None:
                     raise AssertionError("no path")
+                last.append(found)
             before = word
             parts, i = [], len(word)
             while i:
