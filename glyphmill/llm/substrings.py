@@ -63,7 +63,7 @@ def _leftmost_min(x: np.ndarray, w: int) -> np.ndarray:
     stop = np.append(change[1:], len(starts))
     for a, b in zip(change, stop):  # a run for each anchor, about 2 / w of the positions
         here = np.flatnonzero(x[a : b - 1 + w] == low[a]) + a
-        out[a:b] = here[np.searchsorted(here, starts[a:b])]
+        out[a:b] = here[0] if len(here) == 1 else here[np.searchsorted(here, starts[a:b])]
     return out
 
 
