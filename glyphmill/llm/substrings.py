@@ -8,8 +8,9 @@
 3. Contexts are dealt out by anchor hash; so equal strings meet. Each block gets the
    Burrows-Wheeler transform of its distinct contexts, and bounded interval expansion
    (`bwt.long_matches`) marks the strings that occur twice.
-4. An anchor in more than `HOT` places would overfill a block: its strings are dealt out one by
-   one by their own hash instead, counted with partial sums, and give the same marks.
+4. An anchor in more than `HOT` places would overfill a block: its distinct contexts are counted
+   with partial sums, the strings of those that do not repeat as a whole are looked for one by
+   one by their own hash among all strings of the anchor, and give the same marks.
 5. Marks go back to their texts as intervals; what they cover is cut out.
 
 Defined results: null is the empty text; texts shorter than `least` bytes lose nothing; equal
@@ -153,18 +154,14 @@ def repeated_spans(docs: DataFrame, least: int = 400, hot: int = HOT, block: int
                 _, down = _powers(len(total))
                 b, e = begin[inside], stop[inside] + least - 1
                 whole = mix((total[e] - total[b]) * down[b] + (e - b).astype(np.uint64)).view(np.int64)
-                strings = _rolled(total, least).view(np.int64) if is_hot.any() else None
                 for x, y, hh, cc, hot_one in zip(b.tolist(), e.tolist(), h[inside].tolist(), whole.tolist(), is_hot.tolist()):
-                    if hot_one:
-                        put(-1, 0, 0, times, strings[x : y - least + 1].tobytes(), uid, x)
+                    put(-2, hh, cc, 0, None, uid, x)
+                    if (hh, cc) in ctx:
+                        ctx[hh, cc][1] += times
                     else:
-                        put(-2, hh, cc, 0, None, uid, x)
-                        if (hh, cc) in ctx:
-                            ctx[hh, cc][1] += times
-                        else:
-                            ctx[hh, cc] = [data[x:y], times]
-            for (hh, cc), (data, n) in ctx.items():
-                put((hh >> 8) % n_buckets, hh, cc, n, data.tobytes(), 0, 0)
+                        ctx[hh, cc] = [data[x:y], times, hot_one]
+            for (hh, cc), (data, n, hot_one) in ctx.items():
+                put(-1 if hot_one else (hh >> 8) % n_buckets, hh, cc, n, data.tobytes(), 0, 0)
             yield pa.RecordBatch.from_pydict({"bucket": pa.array(rows["bucket"], pa.int64()), "h": pa.array(rows["h"], pa.int64()), "c": pa.array(rows["c"], pa.int64()), "n": pa.array(rows["n"], pa.int64()), "data": pa.array(rows["data"], pa.binary()), "uid": pa.array(rows["uid"], pa.int64()), "a": pa.array(rows["a"], pa.int64())})
 
     schema = "bucket long, h long, c long, n long, data binary, uid long, a long"
@@ -210,24 +207,33 @@ def repeated_spans(docs: DataFrame, least: int = 400, hot: int = HOT, block: int
         return pa.table({"h": pa.array(out_h, pa.int64()), "c": pa.array(out_c, pa.int64()), "spans": pa.array(spans, pa.binary())})
 
     marks = found.filter("bucket >= 0").select("bucket", "h", "c", "n", "data").groupBy("bucket").applyInArrow(marked, "h long, c long, spans binary")
-    placed = found.filter("bucket = -2").select("h", "c", "uid", "a").distinct().join(marks, ["h", "c"]).select("uid", "a", "spans")
 
-    # -- hot anchors: every string by itself
-    hot_rows = found.filter("bucket = -1").select("uid", "a", "n", "data")
+    # -- hot anchors: their distinct contexts, string by string; a context that repeats is marked as a whole
+    often_seen = cut(found.filter("bucket = -1").groupBy("h", "c").agg(F.sum("n").alias("n"), F.first("data").alias("data")))
 
     def strings(batches):
         for b in batches:
-            for uid, a, n, data in zip(*(b.column(i).to_pylist() for i in range(4))):
-                s = np.frombuffer(data, np.int64)
-                yield pa.RecordBatch.from_pydict({"s": s, "uid": np.full(len(s), uid), "p": a + np.arange(len(s)), "n": np.full(len(s), n)})
-
-    exploded = hot_rows.mapInArrow(strings, "s long, uid long, p long, n long")
-    twice = exploded.groupBy("s").agg(F.sum("n").alias("t")).filter("t > 1").select("s")
-    hot_places = (
-        exploded.join(twice, "s").select("uid", F.col("p").alias("a"))
-        .withColumn("spans", F.unhex(F.lit("00000000" + int(least).to_bytes(4, "little").hex())))
+            for h, c, n, data in zip(*(b.column(i).to_pylist() for i in range(4))):
+                s = _rolled(_prefix(np.frombuffer(data, np.uint8)), least).view(np.int64)
+                yield pa.RecordBatch.from_pydict({"s": s, "h": np.full(len(s), h), "c": np.full(len(s), c), "p": np.arange(len(s)), "n": np.full(len(s), n)})
+
+    def ranges(batches):
+        for b in batches:
+            spans = []
+            for n, size, at in zip(*(b.column(i).to_pylist() for i in (2, 3, 4))):
+                spans.append((np.array([[0, size]], np.int32) if n > 1 else _ranges_at(np.sort(np.array(at)), least)).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, pa.binary())], ["h", "c", "spans"])
+
+    each = "s long, h long, c long, p long, n long"
+    twice = often_seen.mapInArrow(strings, each).groupBy("s").agg(F.sum("n").alias("t")).filter("t > 1").select("s")
+    some = (
+        often_seen.filter("n = 1").mapInArrow(strings, each).join(twice, "s", "left_semi")
+        .groupBy("h", "c").agg(F.collect_list("p").alias("at"))  # as many as a run has strings
+        .select("h", "c", F.lit(1).cast("long").alias("n"), F.lit(0).alias("size"), "at")
     )
-    every = placed.unionByName(hot_places)
+    every_string = often_seen.filter("n > 1").select("h", "c", "n", F.octet_length("data").alias("size"), F.array().cast("array<long>").alias("at"))
+    marks = marks.unionByName(some.union(every_string).mapInArrow(ranges, "h long, c long, spans binary"))
+    every = found.filter("bucket = -2").select("h", "c", "uid", "a").distinct().join(marks, ["h", "c"]).select("uid", "a", "spans")
 
     def merged(key, table):
         parts = [np.frombuffer(s, np.int32).reshape(-1, 2).astype(np.int64) + a for s, a in zip(table.column("spans").to_pylist(), table.column("a").to_pylist())]
@@ -244,7 +250,11 @@ def repeated_spans(docs: DataFrame, least: int = 400, hot: int = HOT, block: int
 
 def _ranges(mark: np.ndarray, least: int) -> np.ndarray:
     """Byte ranges that the marked strings cover."""
-    at = np.flatnonzero(mark)
+    return _ranges_at(np.flatnonzero(mark), least)
+
+
+def _ranges_at(at: np.ndarray, least: int) -> np.ndarray:
+    """Byte ranges that the strings at these places, in order, cover."""
     new = np.append(True, at[1:] > at[:-1] + least)
     lo = at[new]
     hi = at[np.append(np.flatnonzero(new)[1:], len(at)) - 1] + least
