@@ -8,7 +8,7 @@
 3. Contexts are dealt out by anchor hash; so equal strings meet. Each block gets the
    Burrows-Wheeler transform of its distinct contexts, and bounded interval expansion
    (`bwt.long_matches`) marks the strings that occur twice.
-4. An anchor in more than `HOT` places would overfill a block: its distinct contexts are counted
+4. An anchor with more than `HOT` distinct contexts would overfill a block: its contexts are counted
    with partial sums, the strings of those that do not repeat as a whole are looked for one by
    one by their own hash among all strings of the anchor, and give the same marks.
 5. Marks go back to their texts as intervals; what they cover is cut out.
@@ -206,11 +206,15 @@ def repeated_spans(docs: DataFrame, least: int = 400, hot: int = HOT, block: int
                 spans.append(_ranges(m, least).tobytes())
         return pa.table({"h": pa.array(out_h, pa.int64()), "c": pa.array(out_c, pa.int64()), "spans": pa.array(spans, pa.binary())})
 
-    marks = found.filter("bucket >= 0").select("bucket", "h", "c", "n", "data").groupBy("bucket").applyInArrow(marked, "h long, c long, spans binary")
-
-    # -- hot anchors: their distinct contexts, string by string; a context that repeats is marked as a whole
+    # -- anchors in many places: their distinct contexts, of which a block holds few enough or not
     often_seen = cut(found.filter("bucket = -1").groupBy("h", "c").agg(F.sum("n").alias("n"), F.first("data").alias("data")))
+    crowded = often_seen.groupBy("h").agg(F.count("*").alias("m")).filter(F.col("m") > hot).select("h")
+    few = often_seen.join(crowded, "h", "left_anti").select(F.pmod(F.shiftright("h", 8), F.lit(n_buckets)).alias("bucket"), "h", "c", "n", "data")
+    often_seen = often_seen.join(crowded, "h", "left_semi")
+    held = found.filter("bucket >= 0").select("bucket", "h", "c", "n", "data").union(few)
+    marks = held.groupBy("bucket").applyInArrow(marked, "h long, c long, spans binary")
 
+    # -- the others string by string; a context that repeats is marked as a whole
     def strings(batches):
         for b in batches:
             for h, c, n, data in zip(*(b.column(i).to_pylist() for i in range(4))):
