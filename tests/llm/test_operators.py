@@ -279,6 +279,46 @@ def test_line_links(spark):
     assert got == {1: long + "\nshort one", 2: "", 3: "", 4: "quite another line"}
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(last + (x != y), row[j] + 1, row[j - 1] + 1)
+    return row[-1]
+
+
+def test_line_recall(spark):
+    """Pairs that brute force finds, by length of line: a changed word of ten, two of more, one letter of a short line."""
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(n))
+    pairs = collections.defaultdict(list)
+    for size in (2, 5, 8, 10, 20, 40, 80):
+        for _ in range(12):
+            a = [word(rng.randint(4, 9)) for _ in range(size)]
+            b = list(a)
+            for i in rng.sample(range(size), 1 if size <= 10 else 2):
+                k = rng.randrange(len(a[i])) if size < 10 else 0
+                b[i] = a[i][:k] + "z" + a[i][k + 1 :] if size < 10 else word(min(5, len(a[i])))
+            a, b = " ".join(a), " ".join(b)
+            if edits(a, b) <= max(len(a), len(b)) // 10:
+                pairs[size].append((a, b))
+    # lines without spaces, in another script
+    for _ in range(12):
+        a = "".join(chr(rng.randrange(0x4E00, 0x5200)) for _ in range(100))
+        pairs["han"].append((a, a[:40] + "zz" + a[42:]))
+    assert all(len(p) >= 6 for p in pairs.values())
+    each = [x for p in pairs.values() for y in p for x in y]
+    df = spark.createDataFrame([(i, i, x) for i, x in enumerate(each)], "doc_id long, rid long, text string")
+    found, label = lines.line_groups(df)
+    label = {r.node: r.label for r in label.collect()}
+    h = {r.doc_id: r.h for r in found.collect()}
+    group = {x: label.get(h[i], h[i]) for i, x in enumerate(each)}
+    lost = {size: sum(group[a] != group[b] for a, b in p) for size, p in pairs.items()}
+    assert not any(lost.values()), lost
+    assert len(set(group.values())) == len(each) // 2  # and no others
+
+
 def test_line_distance(spark):
     rng = random.Random(8)
     pairs = []
