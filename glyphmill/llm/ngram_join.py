@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import components, cut, id_filter, mix, shingle_sets, slices
 
@@ -298,12 +299,27 @@ def verified(texts: DataFrame, pairs: DataFrame, k: int, num: int, den: int) ->
 def one_of_each(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     """docs without near duplicates: of each component the row with the smallest id stays; all columns are kept.
 
-    Rows whose text has no word stay; of rows that repeat an id and a text one stays.
+    Rows whose text has no word stay; of rows that repeat an id and a text one stays. Where an id
+    repeats with different texts, each text is judged by itself.
     """
-    found = cut(jaccard_links(docs, threshold=threshold).filter("n_shingles > 0").select("doc_id", "component_id"))
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
-    twice = found.groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    found = cut(jaccard_links(docs, threshold=threshold).filter("n_shingles > 0").select("doc_id", "set_key", "component_id"))
+    gone = found.filter("doc_id <> component_id").select("doc_id", "set_key").distinct()
+    twice = cut(found.groupBy("doc_id").count().filter("count > 1").select("doc_id"))
     if twice.isEmpty():
-        return left
-    return left.join(twice, "doc_id", "left_anti").unionByName(left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+        return docs.join(gone.select("doc_id"), "doc_id", "left_anti")
+
+    def keyed(batches):
+        for batch, sets in _tokens(batches, 5):
+            keys = pa.array([_set_key(s) if len(s) else None for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, keys], [*batch.schema.names, "set_key"])
+
+    many = docs.join(twice, "doc_id", "left_semi")
+    many = many.mapInArrow(keyed, StructType([*many.schema.fields, StructField("set_key", LongType())]))
+    many = many.join(gone, ["doc_id", "set_key"], "left_anti").select(*docs.columns, "set_key")
+    # of near duplicates that share the smallest id too, one text stays
+    first = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.min("set_key").alias("kept_key")).withColumnRenamed("doc_id", "kept_id")
+    many = many.join(first, F.col("doc_id") == F.col("kept_id"), "left")
+    own = found.filter("doc_id = component_id").select("doc_id", "set_key").distinct().withColumn("own", F.lit(True))
+    many = many.join(own, ["doc_id", "set_key"], "left").filter("own is null or set_key = kept_key").select(*docs.columns)
+    left = docs.join(twice, "doc_id", "left_anti").join(gone.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    return left.unionByName(many.dropDuplicates(["doc_id", "text"]))

@@ -106,6 +106,15 @@ def test_ngram_join(docs, empty):
     assert not any(a and b and 100 * len(a & b) >= 75 * len(a | b) for a, b in itertools.combinations(kept, 2) if a != b)
 
 
+def test_one_of_each_with_repeated_ids(spark):
+    word = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
+    rows = [(1, word(1, 40)), (2, word(1, 40)), (2, word(2, 40)), (3, word(3, 40)), (3, word(3, 40) + " more"), (4, word(4, 40)), (4, word(4, 40)), (5, ""), (2, None)]
+    left = [(r.doc_id, r.text) for r in ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    threes = [t for i, t in left if i == 3]
+    assert len(threes) == 1 and threes[0] in {t for i, t in rows if i == 3}
+    assert sorted((x for x in left if x[0] != 3), key=str) == sorted([rows[0], rows[2], rows[5], rows[7], rows[8]], key=str)
+
+
 def test_sentence_spans(docs, empty):
     got = {(r.doc_id, i): r for i, r in enumerate(sentences.dedup_sentences(docs).collect())}
     assert len(got) == docs.count()
