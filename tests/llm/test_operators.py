@@ -328,6 +328,18 @@ def test_line_recall(spark):
     assert len(set(group.values())) == len(each) // 2  # and no others
 
 
+def test_line_repeats_and_length(spark, monkeypatch):
+    """Votes are of distinct rows only; lines longer than every class of length link too."""
+    a = " ".join(f"word{i}" for i in range(100))
+    b = a.replace("word50", "ward50")
+    seen, simhashes = [], lines.simhashes
+    monkeypatch.setattr(lines, "simhashes", lambda df, keys: (seen.append(df.count()), simhashes(df, keys))[1])
+    monkeypatch.setattr(lines, "CLASSES", (16, 8), raising=False)
+    got = lines.dedup_lines(spark.createDataFrame([(1, a)] * 700 + [(2, b)], "doc_id long, text string")).collect()
+    assert seen == [2]
+    assert sorted((r.doc_id, r.text) for r in got) == [(1, a)] * 700 + [(2, "")]
+
+
 def test_line_distance(spark):
     rng = random.Random(8)
     pairs = []
