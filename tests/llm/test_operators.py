@@ -334,7 +334,6 @@ def test_line_repeats_and_length(spark, monkeypatch):
     b = a.replace("word50", "ward50")
     seen, simhashes = [], lines.simhashes
     monkeypatch.setattr(lines, "simhashes", lambda df, keys: (seen.append(df.count()), simhashes(df, keys))[1])
-    monkeypatch.setattr(lines, "CLASSES", (16, 8), raising=False)
     got = lines.dedup_lines(spark.createDataFrame([(1, a)] * 700 + [(2, b)], "doc_id long, text string")).collect()
     assert seen == [2]
     assert sorted((r.doc_id, r.text) for r in got) == [(1, a)] * 700 + [(2, "")]
@@ -358,7 +357,7 @@ def test_line_distance(spark):
         if a != b:
             pairs.append((a, b, " ".join(a), " ".join(b)))
     df = spark.createDataFrame(pairs, "a array<string>, b array<string>, s string, t string")
-    got = df.select(lines._distance(F.col("a"), F.col("b"), 100).alias("d"), F.levenshtein("s", "t").alias("e")).collect()
+    got = df.select(lines._distance(F.col("a"), F.col("b"), F.lit(100)).alias("d"), F.levenshtein("s", "t").alias("e")).collect()
     assert all(r.d == r.e for r in got)
 
 
