@@ -43,13 +43,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, label) for every node of edges (a, b longs): label is the smallest node it reaches.
 
     Alternating large and small stars; each half step is a grouped minimum, pre-aggregated
-    before its shuffle, and a join that adaptive execution may split where a hub is hot.
+    before its shuffle and written, so that adaptive execution may split the join where a hub is hot.
     """
     now = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     for _ in range(rounds):
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
+        least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m")))
         large = both.join(least, F.col("a") == F.col("k")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.filter("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k")
@@ -75,13 +75,30 @@ def bind(value, f):
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def id_filter(ids: DataFrame, bits: int = 1 << 23) -> np.ndarray:
-    """A Bloom filter of the long column `id`, `bits` bits whatever the number of ids."""
-    spots = ids.select(F.explode(F.array(F.pmod(F.xxhash64("id"), F.lit(bits)), F.pmod(F.xxhash64("id", F.expr("7L")), F.lit(bits)))).alias("p"))
-    words = spots.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("v")).collect()
-    out = np.zeros(bits // 64, dtype=np.int64)
-    for w, v in words:  # bits / 64 rows at most
-        out[w] = v
+def hit(table: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
+    """Which keys may be in a Bloom filter of `bits` bits."""
+    p, q = _spots(keys, bits)
+    return ((table[p >> 6] >> (p & 63)) & 1 == 1) & ((table[q >> 6] >> (q & 63)) & 1 == 1)
+
+
+def _spots(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    u = h.view(np.uint64)
+    return (mix(u) % np.uint64(bits)).astype(np.int64), (mix(u ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(bits)).astype(np.int64)
+
+
+def bloom(hashes: DataFrame, bits: int) -> np.ndarray:
+    """A Bloom filter of `bits` bits of the long column h; words of it come to the driver, never the hashes."""
+
+    def spots(batches):
+        for b in batches:
+            p, q = _spots(np.asarray(b.column(0)), bits)
+            w = np.unique(np.concatenate([p, q]))
+            yield pa.RecordBatch.from_pydict({"w": w >> 6, "v": np.int64(1) << (w & 63)})
+
+    rows = hashes.select("h").mapInArrow(spots, "w long, v long").groupBy("w").agg(F.bit_or("v").alias("v"))
+    out = np.zeros(bits // 64, np.int64)
+    for b in rows.toLocalIterator():
+        out[b.w] = b.v
     return out
 
 

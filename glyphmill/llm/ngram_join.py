@@ -4,9 +4,10 @@ Every text becomes the set of its distinct shingles. A global order puts the shi
 are common anywhere last, so that the first quarter of a set (its prefix) is made of rare
 ones: two sets with a Jaccard index of `threshold` or more share one shingle of their
 prefixes at least. Texts with the same prefix and the same size collapse into one group;
-groups, not texts, are joined on prefix shingles, pairs of groups are filtered by size and
-position, and what is left is expanded to members and verified on whole sets. A pair of groups is filtered by size, by the place of a shared shingle,
-and by how many shingles of the prefixes are shared at all.
+groups, not texts, are joined on prefix shingles; pairs of groups are filtered by size, by the
+place of a shared shingle and by how many shingles of the prefixes are shared at all. What is
+left is expanded to members, filtered by bitmaps of the sets (a bit that only one of them has
+is a shingle that the other lacks, so the bound is exact), and verified on whole sets.
 
 Joining goes in two steps, so that a family of near copies costs no square: first every
 group meets only the most central group of each shingle (one row a posting), and verified
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import components, cut, id_filter, mix, shingle_sets, slices
+from .common import bloom, components, cut, hit, mix, shingle_sets, slices
 
 #: Shingles that are moved to the end of the global order: so many at most.
 HEAVY = 200_000
@@ -48,6 +49,22 @@ def _set_key(s: np.ndarray) -> int:
         return int(mix(np.array([(mix(s) * np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64) + np.uint64(len(s))]))[0].astype(np.int64))
 
 
+def _bitmap(s: np.ndarray) -> bytes:
+    """Bits of a set by the low bits of its shingles, four to eight a shingle; a longer bitmap folds into a shorter one."""
+    size = 1 << max(6, (4 * len(s) - 1).bit_length())
+    bits = np.zeros(size, np.uint8)
+    bits[(s & np.uint64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def _most_shared(x: bytes, y: bytes, nx: int, ny: int) -> int:
+    """No two sets of these bitmaps and sizes share more."""
+    x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    size = min(len(x), len(y))
+    x, y = (np.bitwise_or.reduce(z.reshape(-1, size), axis=0) for z in (x, y))
+    return min(nx - int(np.bitwise_count(x & ~y).sum()), ny - int(np.bitwise_count(y & ~x).sum()))
+
+
 def heavy_shingles(texts: DataFrame, k: int = 5, most: int = HEAVY) -> tuple[np.ndarray, int]:
     """The shingles that repeat most across texts (at most `most`), rarest first, and how many shingles there are.
 
@@ -115,9 +132,10 @@ def jaccard_links(docs: DataFrame, k: int = 5, threshold: float = 0.75, doc_id:
                 "n": pa.array(n, pa.int64()),
                 "gid": pa.array([group_key(prefix(s)[0], len(s)) if len(s) else None for s in sets], pa.int64()),
                 "sid": pa.array([_set_key(s) if len(s) else None for s in sets], pa.int64()),
+                "bits": pa.array([_bitmap(s) if len(s) else None for s in sets], pa.binary()),
             })
 
-    members = cut(texts.mapInArrow(member_rows, "doc_id long, n long, gid long, sid long"))
+    members = cut(texts.mapInArrow(member_rows, "doc_id long, n long, gid long, sid long, bits binary"))
 
     # -- the inverted index, packed: a row is what one task has for one bucket of shingles
     def packed(batches):
@@ -132,7 +150,7 @@ def jaccard_links(docs: DataFrame, k: int = 5, threshold: float = 0.75, doc_id:
             local = np.repeat(np.arange(len(gid), dtype=np.int32), lens)
             pos = np.arange(len(tok), dtype=np.int64) - np.repeat(np.cumsum(lens) - lens, lens)
             light = pos < np.repeat([v[2] for v in held.values()], lens)
-            bucket = np.where(light, (tok >> np.uint64(20)) % np.uint64(n_buckets), np.uint64(n_buckets) + local.astype(np.uint64) % np.uint64(8)).astype(np.int64)
+            bucket = np.where(light, (tok >> np.uint64(20)) % np.uint64(n_buckets), np.uint64(n_buckets) + (gid.view(np.uint64)[local] >> np.uint64(20)) % np.uint64(n_buckets)).astype(np.int64)
             by = np.lexsort((tok, bucket))
             cuts = np.flatnonzero(np.diff(bucket[by], prepend=-1, append=-1))
             rows = {"bucket": [], "tok": [], "gid": [], "n": [], "pos": []}
@@ -210,18 +228,21 @@ def jaccard_links(docs: DataFrame, k: int = 5, threshold: float = 0.75, doc_id:
         sets.join(star, "gid").join(lead.withColumnRenamed("gid", "hub"), "hub").select(F.col("sid").alias("a"), F.col("lead").alias("b"))
         .union(sets.join(lead, "gid").filter("sid <> lead").select(F.col("sid").alias("a"), F.col("lead").alias("b")))
     )
-    links = cut(verified(texts, first, k, num, den))
+    links = cut(verified(texts, members, first, k, num, den))
     label = components(links)
 
     # -- step 2: pairs of sets that share a prefix shingle and are still apart
     placed = cut(sets.join(label.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid")))
-    spread = placed.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-    where = postings.join(spread, "gid")
-    torn = where.groupBy("tok").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).filter("l <> h").select("tok")
-    open_ = where.join(torn, "tok").select("tok", "gid", "n", "pos", "lo", "hi")
-    x, y = open_.alias("x"), open_.alias("y")
+    spread = cut(placed.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi")))
+    where = cut(postings.join(spread, "gid"))
+    torn = cut(where.groupBy("tok").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).filter("l <> h").select("tok"))
+    # sizes that may link are in one class or in two next to each other, so a shingle of many groups is met class by class
+    of_size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)) + 1e-9).cast("int")
+    open_ = where.join(torn, "tok").select("tok", "gid", "n", "pos", "lo", "hi", of_size.alias("own"))
+    x, y = open_.withColumn("class", F.explode(F.array("own", F.col("own") + 1))).alias("x"), open_.withColumn("class", F.col("own")).alias("y")
+    once = (F.col("x.own") < F.col("y.own")) | (F.col("x.gid") < F.col("y.gid"))
     apart = (
-        x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.gid") < F.col("y.gid")) & ((F.col("x.lo") != F.col("y.lo")) | (F.col("x.hi") != F.col("y.hi")) | (F.col("x.lo") != F.col("x.hi")))
+        x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.class") == F.col("y.class")) & once & ((F.col("x.lo") != F.col("y.lo")) | (F.col("x.hi") != F.col("y.hi")) | (F.col("x.lo") != F.col("x.hi")))
                & near({"n": F.col("x.n"), "pos": F.col("x.pos")}, {"n": F.col("y.n"), "pos": F.col("y.pos")}))
         .groupBy(F.col("x.gid").alias("g1"), F.col("y.gid").alias("g2")).agg(F.count("*").alias("c"), F.min("x.n").alias("n1"), F.min("y.n").alias("n2"))
         .filter(enough).select("g1", "g2")
@@ -229,57 +250,51 @@ def jaccard_links(docs: DataFrame, k: int = 5, threshold: float = 0.75, doc_id:
     one = placed.select(F.col("gid").alias("g1"), F.col("sid").alias("a"), F.col("label").alias("la"))
     two = placed.select(F.col("gid").alias("g2"), F.col("sid").alias("b"), F.col("label").alias("lb"))
     inner = spread.filter("lo <> hi").select(F.col("gid").alias("g1"), F.col("gid").alias("g2"))
-    rest = apart.union(inner).join(one, "g1").join(two, "g2").filter("la <> lb and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = cut(rest)
-    if not rest.isEmpty():
-        more = cut(verified(texts, rest, k, num, den))
-        if not more.isEmpty():
-            label = components(links.unionByName(more))
+    rest = apart.union(inner).join(one, "g1").join(two, "g2").filter("la <> lb and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = cut(verified(texts, members, rest, k, num, den))
+    if not more.isEmpty():
+        label = components(links.unionByName(more))
     named = members.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least")).join(label.withColumnRenamed("node", "sid"), "sid", "left")
-    named = named.withColumn("label", F.coalesce("label", "sid"))
-    smallest = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    of_set = named.join(smallest, "label").select("sid", "component_id")
-    return members.join(of_set, "sid", "left").select(
+    named = cut(named.withColumn("label", F.coalesce("label", "sid")))
+    smallest = cut(named.groupBy("label").agg(F.min("least").alias("component_id")))
+    of_set = cut(named.join(smallest, "label").select("sid", "component_id"))
+    return members.select("doc_id", "n", "sid").join(of_set, "sid", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.col("sid").alias("set_key"),
         F.coalesce("component_id", "doc_id").alias("component_id"),
     )
 
 
-def verified(texts: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Those of pairs (a, b: set keys) whose whole sets reach num / den."""
+def verified(texts: DataFrame, members: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Those of pairs (a, b: set keys) whose whole sets reach num / den; members has the size and bitmap of each set."""
     pairs = cut(pairs.filter("a <> b").distinct())
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    bloom = id_filter(ids)
-    spark = texts.sparkSession
-    bits = len(bloom) * 64
-    shared = spark.sparkContext.broadcast(bloom)
+
+    def possible(batches):
+        for batch in slices(batches):
+            columns = [batch.column(i).to_pylist() for i in range(2, 6)]
+            ok = [_most_shared(x, y, nx, ny) * (den + num) >= num * (nx + ny) for x, y, nx, ny in zip(*columns)]
+            yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
+
+    def sided(pairs: DataFrame, whole: DataFrame, *columns: str) -> DataFrame:
+        for side in ("a", "b"):
+            pairs = pairs.join(whole.select(F.col("sid").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side)
+        return pairs.select("a", "b", *[f"{c}_{side}" for c in columns for side in ("a", "b")])
+
+    known = members.join(_ids(pairs), "sid", "left_semi").dropDuplicates(["sid"])
+    pairs = cut(sided(pairs, known, "bits", "n").mapInArrow(possible, "a long, b long"))
+    ids = cut(_ids(pairs))
+    bits = 1 << min(27, max(16, (ids.count() * 12).bit_length()))
+    shared = texts.sparkSession.sparkContext.broadcast(bloom(ids.withColumnRenamed("sid", "h"), bits))
 
     def keyed(batches):
+        table = shared.value
         for _, sets in _tokens(batches, k):
-            done: dict[int, bytes] = {}
-            for s in sets:
-                if len(s):
-                    done[_set_key(s)] = s.tobytes()
+            sets = [s for s in sets if len(s)]
+            keys = np.array([_set_key(s) for s in sets], np.int64)
+            done = {int(keys[i]): sets[i].tobytes() for i in (np.flatnonzero(hit(table, keys, bits)) if len(keys) else ())}
             yield pa.RecordBatch.from_pydict({"sid": pa.array(list(done), pa.int64()), "s": pa.array(list(done.values()), pa.binary())})
 
-    maybe = lambda seed: F.expr(f"pmod(xxhash64({seed}), {bits})")
-
-    def kept(batches):
-        table = shared.value
-        for batch in batches:
-            a, b = (np.asarray(batch.column(batch.schema.get_field_index(c))) for c in ("p", "q"))
-            hit = ((table[a >> 6] >> (a & 63)) & 1 == 1) & ((table[b >> 6] >> (b & 63)) & 1 == 1)
-            yield batch.filter(pa.array(hit)).select(["sid", "s"])
-
-    whole = (
-        texts.select("text").mapInArrow(keyed, "sid long, s binary")
-        .withColumns({"p": maybe("sid"), "q": maybe("sid, 7L")}).mapInArrow(kept, "sid long, s binary")
-    )
-    whole = whole.join(ids.withColumnRenamed("id", "sid"), "sid", "left_semi").dropDuplicates(["sid"])
-    both = (
-        pairs.join(whole.select(F.col("sid").alias("a"), F.col("s").alias("sa")), "a")
-        .join(whole.select(F.col("sid").alias("b"), F.col("s").alias("sb")), "b")
-    )
+    whole = texts.select("text").mapInArrow(keyed, "sid long, s binary")
+    whole = whole.join(ids, "sid", "left_semi").dropDuplicates(["sid"])
 
     def check(batches):
         for batch in slices(batches):
@@ -293,7 +308,11 @@ def verified(texts: DataFrame, pairs: DataFrame, k: int, num: int, den: int) ->
                     ok[i] = common * den >= num * (len(x) + len(y) - common)
             yield batch.filter(pa.array(ok)).select(["a", "b"])
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
+    return sided(pairs, whole, "s").mapInArrow(check, "a long, b long")
+
+
+def _ids(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
 
 
 def one_of_each(docs: DataFrame, threshold: float = 0.75) -> DataFrame:

@@ -21,8 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _powers, cut, mix, slices, word_bounds, word_hashes
-from .substrings import _bloom, _hit, _spots
+from .common import _powers, bloom, cut, hit, mix, slices, word_bounds, word_hashes
 
 _END = np.zeros(256, bool)
 _END[list(b".!?;:")] = True
@@ -67,14 +66,14 @@ def dedup_sentences(docs: DataFrame, min_sentences: int = 3, min_words: int = 20
 
     counted = cut(rows.select("data").mapInArrow(hashes, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"))
     bits = 1 << min(27, max(16, (counted.count() * 12).bit_length()))
-    known = docs.sparkSession.sparkContext.broadcast(_bloom(counted, bits))
+    known = docs.sparkSession.sparkContext.broadcast(bloom(counted, bits))
 
     def places(batches):
         keep = known.value
         for batch in batches:
             for d, rid, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 _, h, a, b = spans_of(np.frombuffer(t.as_buffer(), np.uint8), min_sentences, min_words)
-                at = np.flatnonzero(_hit(keep, *_spots(h, bits))) if len(h) else h
+                at = np.flatnonzero(hit(keep, h, bits)) if len(h) else h
                 if len(at):
                     yield pa.RecordBatch.from_pydict({"h": h[at], "d": pa.array([d] * len(at), pa.int64()), "rid": np.full(len(at), rid), "a": a[at].astype(np.int32), "b": b[at].astype(np.int32)})
 

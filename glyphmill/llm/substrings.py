@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bwt import long_matches
-from .common import _powers, cut, mix, slices
+from .common import _powers, bloom, cut, hit, mix, slices
 
 GRAM = 64
 HOT = 4096
@@ -88,31 +88,6 @@ def _texts(batch: pa.RecordBatch):
     return seen
 
 
-def _hit(table: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    return ((table[p >> 6] >> (p & 63)) & 1 == 1) & ((table[q >> 6] >> (q & 63)) & 1 == 1)
-
-
-def _spots(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    u = h.view(np.uint64)
-    return (mix(u) % np.uint64(bits)).astype(np.int64), (mix(u ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(bits)).astype(np.int64)
-
-
-def _bloom(hashes: DataFrame, bits: int) -> np.ndarray:
-    """A Bloom filter of `bits` bits of the column h; words of it come to the driver, never the hashes."""
-
-    def spots(batches):
-        for b in batches:
-            p, q = _spots(np.asarray(b.column(0)), bits)
-            w = np.unique(np.concatenate([p, q]))
-            yield pa.RecordBatch.from_pydict({"w": w >> 6, "v": np.int64(1) << (w & 63)})
-
-    rows = hashes.select("h").mapInArrow(spots, "w long, v long").groupBy("w").agg(F.bit_or("v").alias("v"))
-    out = np.zeros(bits // 64, np.int64)
-    for b in rows.toLocalIterator():
-        out[b.w] = b.v
-    return out
-
-
 def repeated_spans(docs: DataFrame, least: int = 400, hot: int = HOT, block: int = BLOCK) -> DataFrame:
     """uid, spans: for each distinct text (uid: its hash) the merged byte ranges to remove, as pairs of int32."""
     spark = docs.sparkSession
@@ -132,7 +107,7 @@ def repeated_spans(docs: DataFrame, least: int = 400, hot: int = HOT, block: int
     counted = cut(texts.mapInArrow(anchors, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1"))
     n_kept, places = counted.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     bits = 1 << min(27, max(16, int(n_kept * 12).bit_length()))
-    many = spark.sparkContext.broadcast((_bloom(counted, bits), _bloom(counted.filter(F.col("n") > hot), 1 << 16)))
+    many = spark.sparkContext.broadcast((bloom(counted, bits), bloom(counted.filter(F.col("n") > hot), 1 << 16)))
     n_buckets = max(12, places * (least + 170) // block + 1)
 
     def contexts(batches):
@@ -147,10 +122,10 @@ def repeated_spans(docs: DataFrame, least: int = 400, hot: int = HOT, block: int
 
             for uid, (data, times) in _texts(batch).items():
                 h, begin, stop, total = runs(data, least)
-                inside = np.flatnonzero(_hit(keep, *_spots(h, bits)))
+                inside = np.flatnonzero(hit(keep, h, bits))
                 if not len(inside):
                     continue
-                is_hot = _hit(often, *_spots(h[inside], 1 << 16))
+                is_hot = hit(often, h[inside], 1 << 16)
                 _, down = _powers(len(total))
                 b, e = begin[inside], stop[inside] + least - 1
                 whole = mix((total[e] - total[b]) * down[b] + (e - b).astype(np.uint64)).view(np.int64)
