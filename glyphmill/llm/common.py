@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,11 +19,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where the cluster names none."""
+    """The folder that all executors share. Only a session of one machine may leave it unset and gets a local one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = f"file://{tempfile.gettempdir()}/checkpoints"
-    return found.rstrip("/")
+    if not found and not re.fullmatch(r"local(\[[\d*, ]+\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+    return (found or f"file://{tempfile.gettempdir()}/checkpoints").rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -70,6 +71,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return labels.union(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
+def kept_names(keep: tuple, taken: tuple) -> list[tuple[str, str]]:
+    """Each column of `keep` and its name in a result with the columns `taken`: those it clashes with become keep_<name>, the id's own is left out."""
+    used = {c.lower() for c in taken}
+    return [(c, f"keep_{c}" if c.lower() in used else c) for c in keep if c != taken[0]]
+
+
 def bind(value, f):
     """f(value) as a column expression in which `value` is evaluated once."""
     return F.get(F.transform(F.array(value), f), F.lit(0))

@@ -13,7 +13,10 @@ Targets: sources by code point, null last, weigh 1, 2, 3, repeating; they share
 weight, stop at `cap` times their source's words, and the excess is shared again.
 
 Defined results: null or empty texts have size 0 and take nothing; rows that repeat an id are
-rows of their own, equal rows get equal copies only by their hash rank; no rows, no result.
+rows of their own; of equal rows as many get one copy more as their source needs, so equal rows
+may take different copies; a null source is a source, the last one; no rows, no result. A kept
+column with the name of a result column is called keep_ and that name; rows that differ in
+columns of map type alone count as equal.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, cut, kept_names
 
 #: A bucket of equal documents that is ranked in one task has about so many.
 RANKED = 2000
@@ -92,10 +95,12 @@ def balance(hist: DataFrame, goal: DataFrame, cap: float, tolerance: float = 1e-
 
 def mix(docs: DataFrame, cap: float = 3.0, weights: tuple = (1, 2, 3), base: str | None = None, keep: tuple = (), doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """One row for each row of docs: doc_id, size, source_size, target, rate, copies, taken; and the columns in `keep`."""
+    held = [F.col(c).alias(f"keep_{c}") for c in keep]
+    kinds = dict(docs.dtypes)
+    told_apart = [F.col(doc_id), F.lit("mix"), F.col(text), *[F.col(c) for c in keep if "map<" not in kinds[c] and "variant" not in kinds[c]]]
     one = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(text).alias("size"),
-        (F.col(base).cast("double") if base else F.lit(1.0)).alias("base"), F.xxhash64(F.col(doc_id), F.lit("mix"), F.col(text)).alias("h"),
-        *[F.col(c).alias(f"keep_{c}") for c in keep],
+        (F.col(base).cast("double") if base else F.lit(1.0)).alias("base"), F.xxhash64(*told_apart).alias("h"), *held,
     )
     light = cut(one.drop(*[f"keep_{c}" for c in keep]))
     hist = cut(light.groupBy("source", "size", "base").agg(F.count("*").alias("n")))
@@ -127,26 +132,41 @@ def mix(docs: DataFrame, cap: float = 3.0, weights: tuple = (1, 2, 3), base: str
     plan = cut(rated.select("source", "size", "base", "n", "source_size", "target", "rate").groupBy("source").applyInPandas(
         rounded, "source string, size long, base double, n long, source_size long, target double, rate double, low long, extra long"))
 
-    # -- which of the equal documents get one copy more: the `extra` smallest hashes of n, by counts of hash buckets
+    # -- which of the documents of one size get one copy more: the `extra` smallest hashes of n, by counts of hash buckets and of hashes
     p = plan.select(F.col("source").alias("s2"), F.col("size").alias("z2"), F.col("base").alias("b2"), "n", "source_size", "target", "rate", "low", "extra")
-    same = F.col("source").eqNullSafe(F.col("s2")) & (F.col("size") == F.col("z2")) & F.col("base").eqNullSafe(F.col("b2"))
-    rows = one.join(p, same).drop("s2", "z2", "b2")
+    like = lambda s, z, b: F.col("source").eqNullSafe(F.col(s)) & (F.col("size") == F.col(z)) & F.col("base").eqNullSafe(F.col(b))
     bucket = F.floor((F.shiftrightunsigned("h", 1) / F.lit(float(1 << 63))) * F.ceil(F.col("n") / RANKED)).cast("long")
-    split = light.join(p.filter("extra > 0 and extra < n").select("s2", "z2", "b2", "n", "extra"), same).withColumn("bucket", bucket)
-    counts = split.groupBy("s2", "z2", "b2", "extra", "bucket").agg(F.count("*").alias("m"))
-    upto = Window.partitionBy("s2", "z2", "b2").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    group = ["s2", "z2", "b2"]
+    split = light.join(p.filter("extra > 0 and extra < n").select(*group, "n", "extra"), like(*group)).withColumn("bucket", bucket)
+    counts = cut(split.groupBy(*group, "extra", "bucket").agg(F.count("*").alias("m")))
+    upto = Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     at = counts.withColumn("before", F.coalesce(F.sum("m").over(upto), F.lit(0))).filter("before < extra and before + m >= extra")
-    at = at.select(F.col("s2").alias("s4"), F.col("z2").alias("z4"), F.col("b2").alias("b4"), F.col("bucket").alias("edge"), (F.col("extra") - F.col("before")).alias("left"))
-    in_edge = split.join(at, F.col("source").eqNullSafe(F.col("s4")) & (F.col("size") == F.col("z4")) & F.col("base").eqNullSafe(F.col("b4")) & (F.col("bucket") == F.col("edge")))
-    rank = F.row_number().over(Window.partitionBy("s4", "z4", "b4").orderBy("h"))
-    limit = cut(in_edge.select("s4", "z4", "b4", "h", "left", rank.alias("r")).filter("r = left").select("s4", "z4", "b4", F.col("h").alias("limit")))
-    out = rows.join(
-        limit.join(at.select("s4", "z4", "b4", "edge").withColumnsRenamed({"s4": "s5", "z4": "z5", "b4": "b5"}), F.col("s4").eqNullSafe(F.col("s5")) & (F.col("z4") == F.col("z5")) & F.col("b4").eqNullSafe(F.col("b5"))).drop("s5", "z5", "b5"),
-        F.col("source").eqNullSafe(F.col("s4")) & (F.col("size") == F.col("z4")) & F.col("base").eqNullSafe(F.col("b4")), "left",
-    )
-    chosen = F.when(F.col("extra") == F.col("n"), F.lit(True)).when(F.col("extra") == 0, F.lit(False)).otherwise((bucket < F.col("edge")) | ((bucket == F.col("edge")) & (F.col("h") <= F.col("limit"))))
-    copies = (F.col("low") + F.coalesce(chosen, F.lit(False)).cast("long")).cast("long")
-    return out.select(
-        "doc_id", "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken"),
-        *[F.col(f"keep_{c}").alias(c) for c in keep if c != "doc_id"],
+    at = cut(at.select(F.col("s2").alias("s4"), F.col("z2").alias("z4"), F.col("b2").alias("b4"), F.col("bucket").alias("edge"), (F.col("extra") - F.col("before")).alias("left")))
+    in_edge = split.join(at, like("s4", "z4", "b4") & (F.col("bucket") == F.col("edge")))
+    # equal rows share a hash: they are one row with a count here
+    hashes = in_edge.groupBy("s4", "z4", "b4", "edge", "left", "h").agg(F.count("*").alias("m"))
+    here = F.sum("m").over(Window.partitionBy("s4", "z4", "b4").orderBy("h").rowsBetween(Window.unboundedPreceding, 0))
+    limit = hashes.withColumn("upto", here).filter("upto >= left and upto - m < left")
+    limit = cut(limit.select("s4", "z4", "b4", "edge", F.col("h").alias("limit"), (F.col("left") - F.col("upto") + F.col("m")).alias("of_equal"), F.col("m").alias("equal")))
+    out = one.join(p, like(*group)).drop(*group).join(limit, like("s4", "z4", "b4"), "left").drop("s4", "z4", "b4").withColumn("bucket", bucket)
+    some = F.col("extra").between(F.lit(1), F.col("n") - 1)
+    part = F.coalesce(some & (F.col("h") == F.col("limit")) & (F.col("of_equal") < F.col("equal")), F.lit(False))
+    chosen = F.when(~some, F.col("extra") > 0).otherwise((F.col("bucket") < F.col("edge")) | ((F.col("bucket") == F.col("edge")) & (F.col("h") <= F.col("limit"))))
+    out = out.withColumn("part", part)
+    result = lambda rows, more: rows.select(
+        "doc_id", "size", "source_size", "target", "rate", (F.col("low") + more.cast("long")).alias("copies"), ((F.col("low") + more.cast("long")) * F.col("size")).alias("taken"),
+        *[F.col(f"keep_{c}").alias(name) for c, name in kept_names(keep, _RESULT)],
     )
+    whole = result(out.filter("not part"), F.coalesce(chosen, F.lit(False)))
+    if limit.filter("of_equal < equal").isEmpty():
+        return whole
+    # -- of equal rows a number gets one more: each part of them is told how many came before it, then gives its rows out again
+    fixed = ["doc_id", "source", "size", "base", "h", "source_size", "target", "rate", "low", "of_equal", "task"]
+    tied = out.filter("part").withColumn("task", F.spark_partition_id())
+    tied = cut(tied.groupBy(*fixed).agg(F.count("*").alias("times"), *[F.any_value(f"keep_{c}").alias(f"keep_{c}") for c in keep]))
+    before = F.sum("times").over(Window.partitionBy("source", "size", "base", "h").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
+    tied = tied.withColumn("before", F.coalesce(before, F.lit(0))).withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    return whole.unionByName(result(tied, F.col("before") + F.col("k") <= F.col("of_equal")))
+
+
+_RESULT = ("doc_id", "size", "source_size", "target", "rate", "copies", "taken")

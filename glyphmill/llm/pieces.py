@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import kept_names, slices
 
 MARK = "▁"
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -270,4 +270,4 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, doc_id: str = "doc_id"
 
     kinds = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[2:])
     out = rows.mapInArrow(run, f"doc_id long, ids array<int>, n_tokens long, decoded string{kinds}")
-    return out.select("doc_id", "ids", "n_tokens", "decoded", *[F.col(f"keep_{c}").alias(c) for c in keep if c not in ("doc_id",)])
+    return out.select("doc_id", "ids", "n_tokens", "decoded", *[F.col(f"keep_{c}").alias(name) for c, name in kept_names(keep, ("doc_id", "ids", "n_tokens", "decoded"))])

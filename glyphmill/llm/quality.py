@@ -10,7 +10,8 @@ of their id. Statistics and verdicts cover every row.
 
 Defined results: null and empty texts have no word and all counts 0, so they fail the base
 rule; a text with fewer than eight words has no window; no labels, no learned rules; labels
-that disagree about an id count as low quality; null labels are ignored.
+that disagree about an id count as low quality; null labels are ignored; rows that repeat are
+rows of their own. A kept column with the name of a result column is called keep_ and that name.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, bind
+from .common import SPACE, WORD, bind, kept_names
 
 #: Labelled rows that the rules are learned from, at most.
 SAMPLE = 20_000
@@ -173,7 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     said = F.broadcast(said.orderBy(F.xxhash64("id_"), "id_").limit(sample))  # `sample` rows at most
     seen = statistics(docs.select(F.col(doc_id).cast("long").alias("id_"), F.col(text).alias("text_")).join(said, "id_"), "text_")
     f = features()
-    rows = seen.filter(~base_failed()).select("id_", "q_", *[c.alias(k) for k, c in f.items()]).dropDuplicates().limit(2 * sample).collect()
+    rows = seen.filter(~base_failed()).select("id_", "q_", *[c.alias(k) for k, c in f.items()]).dropDuplicates().orderBy(F.xxhash64("id_"), "id_", *f).limit(2 * sample).collect()
     rows.sort(key=lambda r: (r.id_ * 0x9E3779B97F4A7C15 % (1 << 64), tuple(r)))
     if not rows:
         return []
@@ -181,6 +182,9 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     return learn(np.array([[r[n] for n in names] for r in rows], float), np.array([r.q_ == 0 for r in rows]), names)
 
 
+_RESULT = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
 def judge(docs: DataFrame, rules: list[Rule], doc_id: str = "doc_id", text: str = "text", keep: tuple = ()) -> DataFrame:
     """One row for each row of docs: doc_id, statistics, base_failed, rule (that rejects, or null), kept; and `keep`."""
     one = docs.select(F.col(doc_id).cast("long").alias("q_id"), F.col(text).cast("string").alias("q_text"), *[F.col(c).alias(f"keep_{c}") for c in keep])
@@ -188,5 +192,5 @@ def judge(docs: DataFrame, rules: list[Rule], doc_id: str = "doc_id", text: str
     s = s.withColumn("base_failed", base_failed()).withColumn("rule", rejected(rules))
     return s.select(
         F.col("q_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & F.col("rule").isNull()).alias("kept"), "rule", *[F.col(f"keep_{c}").alias(c) for c in keep if c != "doc_id"],
+        (~F.col("base_failed") & F.col("rule").isNull()).alias("kept"), "rule", *[F.col(f"keep_{c}").alias(name) for c, name in kept_names(keep, _RESULT)],
     )
