@@ -38,6 +38,7 @@ BLOCKS = frozenset(
 P_ENDS = BLOCKS - {"br", "html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "legend", "button", "select"}
 SAME_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 STOPS = frozenset("table td th div ul ol article section aside nav header footer main form body blockquote".split())
+HELD = frozenset("p b i a u s span em strong li small big font sub sup code tt abbr cite q mark label h1 h2 h3 h4 h5 h6 dt dd option button".split())
 
 #: Kinds of tag; a node's features and its edge are by kind.
 KINDS = {
@@ -45,13 +46,13 @@ KINDS = {
     "label": "form", "fieldset": "form", "dialog": "side", "legend": "form",
     "p": "para", "blockquote": "para", "pre": "para", "figcaption": "para", "h1": "title", "h2": "title", "h3": "title", "h4": "title", "h5": "title", "h6": "title",
     "ul": "list", "ol": "list", "dl": "list", "li": "item", "dd": "item", "dt": "item", "table": "table", "tr": "table", "td": "table", "th": "table", "tbody": "table", "a": "link",
-    "#": "text", "body": "body", "html": "body",
+    "#": "text", "body": "body", "html": "body", "figure": "para", **dict.fromkeys("b i u s em strong span small big font sub sup code tt abbr cite q mark".split(), "inline"),
 }
 #: Parts of class, id and role values that speak for or against content.
 AGAINST = {
     "menu": ("nav", "menu", "breadcrumb", "toc", "pager", "pagination", "toolbar", "tabs"),
     "advert": ("ad", "ads", "advert", "adv", "sponsor", "promo", "banner", "adsense", "advertisement", "sponsored", "outbrain", "taboola"),
-    "edge": ("footer", "header", "masthead", "copyright", "legal", "bottom", "topbar", "site"),
+    "edge": ("footer", "header", "masthead", "copyright", "legal", "bottom", "topbar"),
     "side": ("sidebar", "aside", "widget", "related", "recommend", "recommended", "share", "social", "tags", "meta", "author", "trending", "popular"),
     "notice": ("cookie", "consent", "notice", "popup", "modal", "alert", "newsletter", "subscribe", "signup", "login", "gdpr", "overlay", "paywall"),
     "reply": ("comment", "comments", "reply", "replies", "disqus", "discussion", "respond", "feedback"),
@@ -59,17 +60,86 @@ AGAINST = {
 FOR = ("article", "content", "post", "entry", "story", "body", "text", "main", "prose")
 _WORD_OF = {w: k for k, ws in AGAINST.items() for w in ws} | {w: "for" for w in FOR}
 
-FEATURES = ["bias", *sorted(set(KINDS.values()) | {"other"}), *AGAINST, "for", "short", "long", "linked", "hidden"]
+FEATURES = ["bias", *sorted(set(KINDS.values()) | {"other"}), *AGAINST, "for", "short", "long", "linked", "hidden", "stop"]
 _F = {n: i for i, n in enumerate(FEATURES)}
 KIND_NAMES = sorted(set(KINDS.values()) | {"other"})
 _K = {n: i for i, n in enumerate(KIND_NAMES)}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
+_TAG = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.S)
 _SPLIT = re.compile(r"[^a-z]+")
+_STOP = frozenset(".!?:;…")
 _SPACE = re.compile(r"\s+")
 
 
+def tokens(source: str):
+    """(text before, whether it is an end tag, tag or "", attributes, whether it ends in itself), in page order and in linear time.
+
+    A tag ends at the first > outside quotes; a quote counts if a space, / or > follows its end, so an unclosed one
+    does not take in what comes after. A tag that never ends takes in the rest. What is inside raw elements is left out.
+    """
+    at, n = 0, len(source)
+    ahead: dict[str, int] = {}
+
+    def find(what: str, start: int) -> int:
+        """Like source.find, n if there is none; what was found stays known, so nothing is searched twice."""
+        known = ahead.get(what, -1)
+        if known < start:
+            known = source.find(what, start)
+            ahead[what] = known = n if known < 0 else known
+        return known
+
+    lower = None
+    begin = 0
+    while True:
+        lt = find("<", at)
+        if lt >= n:
+            if begin < n:
+                yield source[begin:], False, "", "", False
+            return
+        mark = source[lt + 1 : lt + 2]
+        if source.startswith("<!--", lt):
+            stop = find("-->", lt + 4) + 3
+        elif source.startswith("<![CDATA[", lt):
+            stop = find("]]>", lt + 9) + 3
+        elif mark in ("!", "?"):
+            stop = find(">", lt + 2) + 1
+        else:
+            m = _TAG.match(source, lt + 1 + (mark == "/"))
+            if not m:
+                at = lt + 1  # a lone < is text
+                continue
+            k = find(">", m.end())
+            quote = m.end()
+            while True:
+                quote = min(find('"', quote), find("'", quote))
+                if quote >= k:
+                    break
+                close = find(source[quote], quote + 1) if source[max(m.end(), quote - 3) : quote].rstrip()[-1:] == "=" else n
+                if close < n and source[close + 1 : close + 2] in (" ", "\t", "\n", "\r", "\f", "/", ">", ""):
+                    quote = close + 1
+                    k = find(">", quote) if k < quote else k
+                else:
+                    quote += 1
+            name, attrs = m[0].lower(), source[m.end() : k]
+            yield source[begin:lt], mark == "/", name, attrs, attrs.endswith("/")
+            at = begin = min(n, k + 1)
+            if name in RAW and mark != "/":
+                lower = source.lower() if lower is None else lower
+                if len(lower) != n:
+                    lower = "".join(c.lower() if c.isascii() else c for c in source)
+                end = f"</{name}"
+                known = ahead.get(end, -1)
+                if known < at:
+                    known = lower.find(end, at)
+                    ahead[end] = known = n if known < 0 else known
+                at = begin = min(n, find(">", known) + 1) if known < n else n
+            continue
+        if begin < lt:
+            yield source[begin:lt], False, "", "", False
+        at = begin = min(n, stop)
+
+
 class Tree:
     """Nodes in page order: parent, tag, attributes, and the raw text of text nodes."""
 
@@ -78,44 +148,35 @@ class Tree:
     def __init__(self, source: str):
         self.parent, self.tag, self.attrs, self.text = [-1], ["#root"], [""], [""]
         open_ = [0]
-        at, n = 0, len(source)
-        while at < n:
-            m = _TOKEN.search(source, at)
-            stop = m.start() if m else n
-            if stop > at and not source[at:stop].isspace():
-                self._add(open_[-1], "#", "", source[at:stop])
-            elif stop > at:
-                self._add(open_[-1], "#", "", " ")
-            if not m:
-                break
-            at = m.end()
-            name = m[2]
+        where: dict[str, list[int]] = {}  # for each tag the places in open_ where it is open
+        stops = [0]  # the places in open_ that hold back the end of what is outside them
+
+        def cut_to(k: int) -> None:
+            while len(open_) > k:
+                t = self.tag[open_.pop()]
+                where[t].pop()
+                if t in STOPS:
+                    stops.pop()
+
+        for text, closing, name, attrs, whole in tokens(source):
+            if text:
+                self._add(open_[-1], "#", "", " " if text.isspace() else text)
             if not name:
                 continue
-            name = name.lower()
-            if m[1]:
-                for i in range(len(open_) - 1, 0, -1):
-                    t = self.tag[open_[i]]
-                    if t == name:
-                        del open_[i:]
-                        break
-                    if name in ("p", "b", "i", "a", "span", "em", "strong", "li") and t in STOPS:
-                        break
+            at = where.get(name)
+            if closing:
+                # an inline element, a paragraph or an item does not end what stands around it
+                if at and (at[-1] > stops[-1] or name not in HELD):
+                    cut_to(at[-1])
                 continue
-            ends = SAME_ENDS.get(name, frozenset()) | ({"p"} if name in P_ENDS else frozenset())
-            if ends:
-                for i in range(len(open_) - 1, 0, -1):
-                    t = self.tag[open_[i]]
-                    if t in ends:
-                        del open_[i:]
-                        break
-                    if t in STOPS:
-                        break
-            node = self._add(open_[-1], name, m[3] or "", "")
-            if name in RAW:
-                close = re.compile(rf"</{re.escape(name)}\s*(?:>|$)", re.I).search(source, at)
-                at = close.end() if close else n
-            elif name not in VOID and not (m[3] or "").endswith("/"):
+            ends = max((where[t][-1] for t in (*SAME_ENDS.get(name, ()), *(("p",) if name in P_ENDS else ())) if where.get(t)), default=-1)
+            if ends >= stops[-1] > 0 or ends > 0 and not stops[-1]:
+                cut_to(ends)
+            node = self._add(open_[-1], name, attrs, "")
+            if name not in RAW and name not in VOID and not whole:
+                where.setdefault(name, []).append(len(open_))
+                if name in STOPS:
+                    stops.append(len(open_))
                 open_.append(node)
 
     def ends(self) -> list[int]:
@@ -136,7 +197,7 @@ class Tree:
 _SEEN: dict[tuple, tuple[tuple[int, ...], int]] = {}
 
 
-def _traits(tag: str, attrs: str, short: bool, long: bool, linked: bool) -> tuple[tuple[int, ...], int]:
+def _traits(tag: str, attrs: str, short: bool, long: bool, linked: bool, stop: bool) -> tuple[tuple[int, ...], int]:
     """The features that hold for such a node, by number, and its kind."""
     kind = KINDS.get(tag, "other")
     found = {0, _F[kind]}
@@ -146,7 +207,7 @@ def _traits(tag: str, attrs: str, short: bool, long: bool, linked: bool) -> tupl
             found.update(_F[_WORD_OF[w]] for w in _SPLIT.split((a or b or c).lower()) if w in _WORD_OF)
         elif name in ("hidden", "aria-hidden") or name == "style" and "none" in (a or b or c):
             found.add(_F["hidden"])
-    found.update(_F[n] for n, on in (("short", short), ("long", long), ("linked", linked)) if on)
+    found.update(_F[n] for n, on in (("short", short), ("long", long), ("linked", linked), ("stop", stop)) if on)
     return tuple(sorted(found)), _K[kind]
 
 
@@ -167,7 +228,7 @@ def evidence(tree: Tree) -> tuple[list[tuple[int, ...]], list[int]]:
         _SEEN.clear()
     for i in range(n):
         size = total[i]
-        key = (tags[i], attrs[i], size < 25, size > 120, linked[i] > 0.5 * size)
+        key = (tags[i], attrs[i], size < 25, size > 120, linked[i] > 0.5 * size, texts[i].rstrip()[-1:] in _STOP)
         one = _SEEN.get(key)
         if one is None:
             one = _traits(*key)
@@ -234,53 +295,72 @@ _TEXTS = (
 _SHORT = ("Home", "About us", "Read more", "Contact", "All rights reserved.", "Sign in", "Next page", "Terms of use", "The", "of")
 
 
-def labelled_pages(n: int = 160) -> list[str]:
+def labelled_pages(n: int = 400) -> list[str]:
     """Training pages by rule. Content is wrapped in <x-c>, which the reader of labels takes out."""
     rng = np.random.default_rng(11)
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
     maybe = lambda p: rng.random() < p
     para = lambda: pick(_TEXTS) + (" " + pick(_TEXTS) if maybe(0.4) else "")
     links = lambda k: "".join(f'<li><a href="/{i}">{pick(_SHORT)}</a></li>' for i in range(k))
+    c = lambda s: f"<x-c>{s}</x-c>"
+    plain = lambda: pick(("", "", " class=x", ' class="col-8"', " id=page", ' class="wrapper"', " class=inner"))
+
+    def block() -> str:
+        kind = rng.random()
+        if kind < 0.48:
+            return c(f"<p>{para()}</p>" if maybe(0.6) else f"<p><b>{para()}<br>" if maybe(0.3) else f"<div{plain()}>{para()}</div>" if maybe(0.4) else f"<p>{para()} <a href='/x'>{pick(_SHORT)}</a> {pick(_TEXTS)}</p>")
+        if kind < 0.56:
+            return c(f"<{pick(('h2', 'h3', 'h4'))}>{pick((pick(_TEXTS)[:30], pick(_SHORT)))}</h2>")
+        if kind < 0.64:
+            return c("<ul>" + "".join(f"<li>{pick((pick(_TEXTS), pick(_SHORT)))}</li>" for _ in range(3)) + "</ul>")
+        if kind < 0.70:
+            return c(f"<{(k := pick(('ul', 'ol')))}>{links(int(rng.integers(2, 5)))}</{k}>")
+        if kind < 0.74:
+            return c(f"<blockquote><p>{para()}</p></blockquote>")
+        if kind < 0.78:
+            return c(f"<table><tr><td>{pick(_SHORT)}</td><td>{pick(_TEXTS)}</td></tr><tr><td>{pick(_SHORT)}<td>{pick(_SHORT)}</table>")
+        if kind < 0.80:
+            return c(f"<pre>{pick(_TEXTS)}</pre>")
+        if kind < 0.83:
+            return c(f"<figure><img src=x><figcaption>{pick(_TEXTS)[:40]}</figcaption></figure>")
+        if kind < 0.85:
+            return c(f"<dl><dt>{pick(_SHORT)}</dt><dd>{para()}</dd></dl>")
+        if kind < 0.90:
+            return f'<div class="{pick(("ad", "advert", "ad-slot", "sponsored", "promo-box"))}">{para()}</div>'
+        if kind < 0.93:
+            return f'<aside{pick(("", " class=related"))}><p>{para()}</p></aside>'
+        if kind < 0.97:
+            return f'<div class="{pick(("share", "social-links", "newsletter-signup", "author-meta", "related-posts"))}"><p>{pick(_TEXTS)}</p></div>'
+        return f"<form><label>{pick(_SHORT)}</label><p>{pick(_TEXTS)}</p><button>{pick(_SHORT)}</button></form>"
+
     pages = []
     for _ in range(n):
-        c = lambda s: f"<x-c>{s}</x-c>"
-        title = c(f"{pick(('<h1>', '<h1 class=\"title\">'))}{pick(_TEXTS)[:60]}</h1>") if maybe(0.9) else ""
-        body = title
-        for _ in range(int(rng.integers(0, 9))):
-            kind = rng.random()
-            if kind < 0.55:
-                body += c(f"<p>{para()}</p>" if maybe(0.7) else f"<p><b>{para()}<br>" if maybe(0.5) else f"<p>{para()} <a href='/x'>{pick(_SHORT)}</a> {pick(_TEXTS)}</p>")
-            elif kind < 0.62:
-                body += c(f"<h2>{pick(_TEXTS)[:30]}</h2>")
-            elif kind < 0.7:
-                body += c("<ul>" + "".join(f"<li>{pick(_TEXTS)}</li>" for _ in range(3)) + "</ul>")
-            elif kind < 0.75:
-                body += c(f"<blockquote><p>{para()}</p></blockquote>")
-            elif kind < 0.79:
-                body += c(f"<table><tr><td>{pick(_SHORT)}</td><td>{pick(_TEXTS)}</td></tr></table>")
-            elif kind < 0.82:
-                body += c(f"<pre>{pick(_TEXTS)}</pre>")
-            elif kind < 0.88:
-                body += f'<div class="{pick(("ad", "advert", "ad-slot", "sponsored", "promo-box"))}">{para()}</div>'
-            elif kind < 0.92:
-                body += f'<aside{pick(("", " class=related"))}><p>{para()}</p></aside>'
-            elif kind < 0.95:
-                body += f'<div class="{pick(("share", "social-links", "newsletter-signup", "author-meta"))}"><p>{pick(_TEXTS)}</p></div>'
-            else:
-                body += f'<form><label>{pick(_SHORT)}</label><p>{pick(_TEXTS)}</p><button>{pick(_SHORT)}</button></form>'
+        title = c(f"{pick(('<h1>', '<h1 class=\"title\">'))}{pick(_TEXTS)[:60]}</h1>") if maybe(0.7) else ""
+        body = title + (c(pick((f"<p>{para()}</p>", f"<p><b>{para()}<br>", f"<p><b>{para()}</b> {para()}", f"{para()}<br><i>{para()}</i>"))) if maybe(0.3) else "".join(block() for _ in range(int(rng.integers(0, 9)))))
+        body = body or c(f"<p>{para()}</p>")
         wrap = rng.random()
-        frame = f"<article>{body}</article>" if wrap < 0.5 else f"<main>{body}</main>" if wrap < 0.65 else f'<div class="{pick(("content", "post-body", "entry-content", "article-text"))}">{body}</div>' if wrap < 0.85 else f'<main><article class="post">{body}</article></main>' if wrap < 0.95 else f"<div>{body}</div>"
+        frame = (
+            f"<article>{body}</article>" if wrap < 0.4 else f"<main>{body}</main>" if wrap < 0.52 else f'<div class="{pick(("content", "post-body", "entry-content", "article-text", "site-content", "main-column"))}">{body}</div>' if wrap < 0.7
+            else f'<main><article class="post">{body}</article></main>' if wrap < 0.8 else f"<section{plain()}>{body}</section>" if wrap < 0.88 else f"<div{plain()}>{body}</div>"
+        )
+        if maybe(0.15):
+            frame = f"<div{plain()}>{frame}</div>"
+        if maybe(0.12):  # a fragment without anything around it
+            pages.append(frame if maybe(0.7) else f"<html><body>{frame}")
+            continue
         out = "<!DOCTYPE html><html><head><title>x</title><style>p{}</style><script>var t='</p>'</script></head><body>"
-        out += f"<nav><ul>{links(int(rng.integers(2, 8)))}</ul></nav>" if maybe(0.6) else f'<div class="{pick(("menu", "nav-bar", "breadcrumb"))}"><ul>{links(4)}</ul></div>' if maybe(0.6) else ""
+        out += f"<nav><ul>{links(int(rng.integers(2, 8)))}</ul></nav>" if maybe(0.6) else f'<div class="{pick(("menu", "nav-bar", "breadcrumb", "topbar"))}"><ul>{links(4)}</ul></div>' if maybe(0.6) else f"<div{plain()}><ul>{links(int(rng.integers(4, 9)))}</ul></div>" if maybe(0.3) else ""
         out += f"<header><h1>{pick(_SHORT)}</h1><p>{para()}</p></header>" if maybe(0.35) else f'<div id="header">{pick(_TEXTS)}</div>' if maybe(0.15) else ""
-        out += f'<div class="{pick(("ad", "ads", "banner", "cookie-notice", "cookie-banner", "alert", "consent", "popup"))}">{pick(("<p>%s</p>", "%s")) % para()}</div>' if maybe(0.7) else ""
+        out += f'<div class="{pick(("ad", "ads", "banner", "cookie-notice", "cookie-banner", "alert", "consent", "popup"))}">{pick(("<p>%s</p>", "%s")) % para()}</div>' if maybe(0.6) else ""
         out += f'<div role="{pick(("alert", "banner"))}">{para()}</div>' if maybe(0.1) else ""
         out += frame
-        out += f'<{pick(("aside", "div class=sidebar", "div id=sidebar", "section class=widget"))}><h3>{pick(_SHORT)}</h3><p>{para()}</p>' if maybe(0.5) else "<div class=x>" if maybe(0.2) else "<div>"
+        out += f'<{pick(("aside", "div class=sidebar", "div id=sidebar", "section class=widget"))}><h3>{pick(_SHORT)}</h3>' + pick((f"<p>{para()}</p>", f"<ul>{links(4)}</ul>")) if maybe(0.5) else "<div class=x>" if maybe(0.2) else "<div>"
         out += "</aside></section></div>"
-        out += f'<{pick(("section", "div"))} {pick(("class=comments", "id=comments", "class=\"comment-list\""))}><h3>{pick(_SHORT)}</h3>' + "".join(f'<div class="comment"><p>{para()}</p></div>' if maybe(0.6) else f"<article><p>{para()}</p></article>" for _ in range(int(rng.integers(1, 4)))) + "</section></div>" if maybe(0.45) else ""
+        if maybe(0.45):
+            replies = [pick((f'<div class="comment"><p>{para()}</p></div>', f"<article><p>{para()}</p></article>", f'<li class="comment"><p>{para()}</p></li>', f"<p>{para()}</p>")) for _ in range(int(rng.integers(1, 4)))]
+            out += f'<{pick(("section", "div", "ol"))} {pick(("class=comments", "id=comments", "class=\"comment-list\"", "id=disqus_thread", "class=replies"))}><h3>{pick(_SHORT)}</h3>' + "".join(replies) + "</ol></section></div>"
         out += f'<form class="{pick(("login", "search", "subscribe"))}"><p>{pick(_TEXTS)}</p><button>{pick(_SHORT)}</button></form>' if maybe(0.3) else ""
-        out += pick((f"<footer>&copy; {pick(_SHORT)} &middot; {para()}</footer>", f"<footer><p>{para()}</p></footer>", f'<div class="footer"><p>{para()}</p></div>'))
+        out += pick((f"<footer>&copy; {pick(_SHORT)} &middot; {para()}</footer>", f"<footer><p>{para()}</p></footer>", f'<div class="footer"><p>{para()}</p></div>', f"<footer><ul>{links(3)}</ul><p>{pick(_SHORT)}</p></footer>", ""))
         pages.append(out + "</body></html>")
     return pages
 

@@ -5,11 +5,12 @@ batch are sorted, which is the depth-first order of their trie; the forward stat
 prefix is kept on a stack, and a word only computes the positions past the prefix that it
 shares with the word before.
 
-The vocabulary file is a byte-pair model, whose scores are merge ranks, not log probabilities:
-a sum of them does not rank segmentations as its encoder does. So the forward scores are 0 or
-minus infinity: a path is allowed if the encoder would make each of its pieces, and keep each
-two neighbours apart. Exactly one path of every prefix is allowed, so a state is the last piece
-of that path, and the best path is the encoder's own result.
+With a unigram model the forward score of a prefix is the largest sum of its pieces' log
+probabilities. A byte-pair model (the vocabulary here) has merge ranks for scores instead, and
+a sum of them does not rank segmentations as its encoder does. There the forward scores are 0
+or minus infinity: a path is allowed if the encoder would make each of its pieces, and keep
+each two neighbours apart. Exactly one path of every prefix is allowed, so a state is the last
+piece of that path, and the best path is the encoder's own result.
 
 Characters outside the vocabulary become byte pieces. Runs of marks, whose merges tie, are
 encoded by their length.
@@ -20,6 +21,7 @@ except that the mark character itself comes back as a space.
 
 from __future__ import annotations
 
+import heapq
 import itertools
 import re
 from pathlib import Path
@@ -32,12 +34,15 @@ from .common import kept_names, slices
 
 MARK = "▁"
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-#: Words whose ids a worker remembers between batches.
+#: Words, and lengths of runs of spaces, whose ids a worker remembers between batches.
 REMEMBERED = 300_000
+RUNS = 2_000
+#: What a character that is no piece costs beyond the worst piece, as the format has it.
+UNKNOWN = 10.0
 
 
-def read_vocabulary(raw: bytes) -> list[tuple[str, float, int]]:
-    """(piece, score, type) in order, from the model file's protocol buffer."""
+def read_vocabulary(raw: bytes) -> tuple[list[tuple[str, float, int]], bool]:
+    """(piece, score, type) in order, and whether it is a unigram model, from the model file's protocol buffer."""
     import struct
 
     def varint(at: int) -> tuple[int, int]:
@@ -49,13 +54,24 @@ def read_vocabulary(raw: bytes) -> list[tuple[str, float, int]]:
             if b < 128:
                 return out, at
 
-    out, at = [], 0
+    out, at, unigram = [], 0, True  # the default where no type is given
     while at < len(raw):
         tag, at = varint(at)
         if tag & 7 != 2:
             raise ValueError("not a model file")
         size, at = varint(at)
         end = at + size
+        if tag >> 3 == 2:
+            while at < end:
+                field, at = varint(at)
+                if field & 7 == 0:
+                    value, at = varint(at)
+                    unigram = value == 1 if field >> 3 == 3 else unigram
+                elif field & 7 == 2:
+                    value, at = varint(at)
+                    at += value
+                else:
+                    at += 4 if field & 7 == 5 else 8
         if tag >> 3 == 1:
             piece, score, kind = "", 0.0, 1
             while at < end:
@@ -69,7 +85,7 @@ def read_vocabulary(raw: bytes) -> list[tuple[str, float, int]]:
                     kind, at = varint(at)
             out.append((piece, score, kind))
         at = end
-    return out
+    return out, unigram
 
 
 class Pieces:
@@ -78,7 +94,7 @@ class Pieces:
     _WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
     def __init__(self, raw: bytes):
-        vocabulary = read_vocabulary(raw)
+        vocabulary, self.unigram = read_vocabulary(raw)
         self.texts = [p for p, _, _ in vocabulary]
         self.byte_ids = {int(p[3:5], 16): i for i, (p, _, t) in enumerate(vocabulary) if t == 6}
         self.bytes_of = {i: b for b, i in self.byte_ids.items()}
@@ -90,10 +106,13 @@ class Pieces:
         usual = {p: (i, -s) for i, (p, s, t) in enumerate(vocabulary) if t in (1, 4)}
         self.ids = {p: i for p, (i, _) in usual.items()}
         self.place = {p: s for p, (_, s) in usual.items()}
+        self.scores = {p: s for p, s, t in vocabulary if t in (1, 4)}
+        self.unknown = min(self.scores.values(), default=0.0) - UNKNOWN
+        self.unknown_id = next((i for i, (_, _, t) in enumerate(vocabulary) if t == 2), 0)
         self.longest = max(map(len, self.ids), default=1)
         self.ends = {p[i:] for p in self.ids for i in range(len(p))}
         #: pieces that the encoder makes of their own text
-        self.good = {p for p in self.ids if len(p) == 1 or self.merged(p) == [p]}
+        self.good = set(self.ids) if self.unigram else {p for p in self.ids if len(p) == 1 or self.merged(p) == [p]}
         self.apart: dict[tuple[str, str], bool] = {}
         self.known: dict[str, tuple[int, ...]] = {}
         self.runs: dict[int, tuple[int, ...]] = {0: ()}
@@ -101,18 +120,30 @@ class Pieces:
             raise ValueError("a piece has a mark after other characters; words cannot be encoded apart")
 
     def merged(self, text: str) -> list[str]:
-        """The encoder's merges, step by step; for short strings."""
-        parts = list(text)
-        while True:
-            best = None
-            for i in range(len(parts) - 1):
-                s = self.place.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s < best[0]):
-                    best = (s, i)
-            if best is None:
-                return parts
-            i = best[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        """The encoder's merges: always the pair with the best place, of equal ones the first; a heap of pairs over a linked list."""
+        parts: list[str | None] = list(text)
+        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+        place, heap = self.place, []
+
+        def offer(i: int, j: int) -> None:
+            both = parts[i] + parts[j]
+            if both in place:
+                heapq.heappush(heap, (place[both], i, j, both))
+
+        for i in range(len(parts) - 1):
+            offer(i, i + 1)
+        while heap:
+            _, i, j, both = heapq.heappop(heap)
+            if parts[i] is None or parts[j] is None or after[i] != j or parts[i] + parts[j] != both:
+                continue
+            parts[i], parts[j] = both, None
+            after[i] = k = after[j]
+            if k < len(parts):
+                before[k] = i
+                offer(i, k)
+            if before[i] >= 0:
+                offer(before[i], i)
+        return [p for p in parts if p is not None]
 
     def _apart(self, a: str, b: str) -> bool:
         ok = self.apart.get((a, b))
@@ -122,6 +153,31 @@ class Pieces:
             ok = self.apart[a, b] = self.merged(a + b) == [a, b]
         return ok
 
+    def most_likely(self, words: list[str]):
+        """(word, pieces) for sorted words of a unigram model: state i is the best sum over the prefix of i characters, and its last piece."""
+        states: list[tuple[float, str]] = [(0.0, "")]
+        before = ""
+        for word in words:
+            shared, n = 0, min(len(before), len(word))
+            while shared < n and before[shared] == word[shared]:
+                shared += 1
+            del states[shared + 1 :]
+            for i in range(shared + 1, len(word) + 1):
+                best = (states[i - 1][0] + self.scores.get(word[i - 1], self.unknown), word[i - 1])
+                for lo in range(i - 2, max(0, i - self.longest) - 1, -1):
+                    piece = word[lo:i]
+                    if piece not in self.ends:
+                        break
+                    if piece in self.scores and states[lo][0] + self.scores[piece] > best[0]:
+                        best = (states[lo][0] + self.scores[piece], piece)
+                states.append(best)
+            before = word
+            parts, i = [], len(word)
+            while i:
+                parts.append(states[i][1])
+                i -= len(states[i][1])
+            yield word, parts[::-1]
+
     def forward(self, words: list[str]):
         """(word, pieces) for sorted words, along their trie; `last[i]` is the last piece of the prefix of i characters."""
         last: list[str] = [""]
@@ -161,19 +217,24 @@ class Pieces:
         for p in parts:
             if p in self.ids:
                 out.append(self.ids[p])
-            else:
+            elif self.byte_ids:
                 out += [self.byte_ids[b] for b in p.encode()]
+            elif out[-1:] != [self.unknown_id]:
+                out.append(self.unknown_id)
         return tuple(out)
 
     def _run(self, n: int) -> tuple[int, ...]:
-        if n not in self.runs:
-            self.runs[n] = self._ids(self.merged(MARK * n))
-        return self.runs[n]
+        found = self.runs.get(n)
+        if found is None:
+            found = self._ids(self.merged(MARK * n))
+            if n <= RUNS:
+                self.runs[n] = found
+        return found
 
     def learn(self, words: set[str]) -> None:
         """Encode words (a mark at most at the start) that are not known yet."""
         fresh = sorted(w for w in words if w not in self.known)
-        for word, parts in self.forward(fresh):
+        for word, parts in (self.most_likely if self.unigram else self.forward)(fresh):
             self.known[word] = self._ids(parts)
 
     def encode(self, texts: list[str | None]) -> list[list[int] | None]:
@@ -193,6 +254,10 @@ class Pieces:
         return out
 
     def _with_runs(self, texts: list[str]) -> list[list[int]]:
+        if self.unigram:  # a run of marks is part of the word after it
+            split = [self._WORDS.findall((MARK + t).replace(" ", MARK)) if t else [] for t in texts]
+            self.learn({w for ws in split for w in ws})
+            return [[i for w in ws for i in self.known[w]] for ws in split]
         split = [None if t is None else self._WORDS.findall((MARK + t).replace(" ", MARK)) if t else [] for t in texts]
         distinct = {w for ws in split if ws for w in ws}
         cores = {w: w if w[:2] != MARK * 2 else MARK + w.lstrip(MARK) for w in distinct}

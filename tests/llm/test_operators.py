@@ -3,8 +3,11 @@
 import collections
 import hashlib
 import itertools
+import pathlib
 import random
 import re
+import struct
+import time
 
 import numpy as np
 import pytest
@@ -175,14 +178,54 @@ def test_neighbours(spark):
 def test_html_model():
     w, e = html.model()
     right = total = 0
-    for page in html.labelled_pages(220)[160:]:
+    for page in html.labelled_pages(500)[400:]:
         tree, y = html._labels(html.Tree(page))
         held, kind = html.evidence(tree)
         odds = html.messages(tree.parent, html._score(held, w), kind, e)[0]
         text = [i for i, (a, b) in enumerate(zip(tree.tag, tree.text)) if a == "#" and b != " "]
         right += sum((odds[i] >= 0) == y[i] for i in text)
         total += len(text)
-    assert right >= 0.97 * total
+    assert right >= 0.98 * total
+
+
+LONG = "This is a paragraph of an article that nobody has labelled, written by hand for the test and long enough to be read."
+#: Pages by hand, in layouts that the generator of training pages does not make, with their main text.
+HELD_OUT = [
+    (f"<article><p>{LONG}</p></article>", [LONG]),
+    (f'<div class="site-content"><p>{LONG}</p><p>Second one, shorter.</p></div>', [LONG, "Second one, shorter."]),
+    (f"<html><body><article><h2>List of &lt;things&gt;</h2><p>{LONG}</p><ul><li><a href=a>First thing</a></li><li><a href=b>Second thing</a></li></ul><p>{LONG}</p></article></body></html>", ["List of <things>", LONG, "First thing", "Second thing", LONG]),
+    (f'<p class="x>Hello there, this is the text of it.</p><p>{LONG}</p>', ["Hello there, this is the text of it.", LONG]),
+    (f'<body><div id="nav"><a href=/>Start</a> <a href=/b>More</a></div><main><div class="row"><div class="col"><h1>Head line</h1><p>{LONG}</p><p>{LONG} <em>And</em> more.</p></div></div></main><div id=footer>Imprint, 2020</div></body>', ["Head line", LONG, LONG + " And more."]),
+    (f"<header><nav><ul><li><a href=1>One</a><li><a href=2>Two</a></ul></nav></header><article><h1>Head\n line</h1><section><h2>Part</h2><p>{LONG}</section><section><p>{LONG}</section></article><aside><h3>Read also</h3><ul><li><a href=3>Three</a></ul></aside>", ["Head line", "Part", LONG, LONG]),
+    (f'<article class="post"><h1>Title of all</h1><p>{LONG}<br>{LONG}</p><table><tr><th>Name<th>Value<tr><td>Speed<td>12</table></article><section id="comments"><h3>2 comments</h3><div class="comment"><p>I do not agree with that at all, as you may know.</p></div></section>', ["Title of all", LONG, LONG, "Name", "Value", "Speed", "12"]),
+    (f'<body><div class="cookie-consent"><p>We use cookies to make this page better for you and for us.</p><button>Fine</button></div><form><input><label>Search</label></form><article><p>{LONG}</p><blockquote>{LONG}</blockquote><script>var x = "<p>no</p>";</script></article><footer><p>{LONG}</p></footer></body>', [LONG, LONG]),
+]
+
+
+def test_html_held_out_layouts():
+    w, e = html.model()
+    for page, want in HELD_OUT:
+        assert html.main_text(page, w, e) == "\n".join(want)
+
+
+@pytest.mark.parametrize("page", [
+    "<i>" * 15_000 + "</b>" * 15_000, "<b><div>" + "<i>" * 50_000 + "</b>" * 50_000, "<a " * 350_000, '<a x="' * 160_000, "<a x='>" * 100_000 + '"' * 100_000, "<" * 500_000, "<!--" * 250_000,
+    "<script>" * 100_000, "<script></script>" * 50_000, "<ul>" * 50_000 + "<li>" * 50_000, "</p>" * 200_000, "<p>" * 200_000,
+])
+def test_html_broken_pages_take_linear_time(page):
+    w, e = html.model()
+    began = time.time()
+    html.main_text(page, w, e)
+    assert time.time() - began < 20
+
+
+def test_html_tags():
+    said = lambda page: [(a, c, d.strip(), t) for t, a, c, d, _ in html.tokens(page)]
+    assert said('x<p a="1>2" b=\'<\'>y') == [(False, "p", 'a="1>2" b=\'<\'', "x"), (False, "", "", "y")]
+    assert said('<p class="x>Hi</p><b y="z">') == [(False, "p", 'class="x', ""), (True, "p", "", "Hi"), (False, "b", 'y="z"', "")]
+    assert said("a < b <!-- <p> --> c") == [(False, "", "", "a < b "), (False, "", "", " c")]
+    assert said("<script>if (a<b) </p></SCRIPT >t") == [(False, "script", "", ""), (False, "", "", "t")]
+    assert said("<p don't>It is the boys' book<p never") == [(False, "p", "don't", ""), (False, "p", "never", "It is the boys' book")]
 
 
 def test_messages_are_exact():
@@ -263,6 +306,39 @@ def test_pieces(docs, empty):
     assert pieces.encode(empty).count() == 0
 
 
+def test_pieces_runs_of_spaces():
+    sentencepiece = pytest.importorskip("sentencepiece")
+    raw = pathlib.Path(pieces.VOCABULARY).read_bytes()
+    mine, theirs = pieces.Pieces(raw), sentencepiece.SentencePieceProcessor(model_file=pieces.VOCABULARY)
+    rng = random.Random(6)
+    texts = [" " * n for n in (1, 2, 3, 15, 16, 17, 31, 33, 100, 1001)] + ["".join(rng.choice(["a", "on", " ", "   ", "\n", "é", "漢"]) for _ in range(40)) for _ in range(200)]
+    assert mine.encode(texts) == [theirs.encode(t) for t in texts]
+    began = time.time()
+    assert mine.encode([" " * 100_000 + "x"])[0] and time.time() - began < 20
+    assert len(mine.runs) <= pieces.RUNS + 1
+
+
+def test_pieces_of_a_unigram_model():
+    """The forward pass takes the largest sum of scores, as brute force over all segmentations finds."""
+    message = lambda field, body: bytes([field << 3 | 2, len(body)]) + body
+    scores = {"▁": -2.0, "a": -3.0, "b": -3.5, "ab": -4.0, "▁a": -3.6, "ba": -5.5, "aba": -8.0, "bb": -6.9, "▁ab": -6.1}
+    raw = message(1, message(1, b"<unk>") + b"\x18\x02") + b"".join(message(1, message(1, p.encode()) + b"\x15" + struct.pack("<f", s)) for p, s in scores.items()) + message(2, b"\x18\x01")
+    model = pieces.Pieces(raw)
+    assert model.unigram
+    rng = random.Random(3)
+    words = sorted({"▁" + "".join(rng.choice("abb") for _ in range(rng.randint(0, 8))) for _ in range(80)})
+
+    def best(w):
+        if not w:
+            return 0.0, []
+        return max((scores[w[:i]] + best(w[i:])[0], [w[:i], *best(w[i:])[1]]) for i in range(1, len(w) + 1) if w[:i] in scores)
+
+    for w, parts in model.most_likely(words):
+        assert "".join(parts) == w and abs(sum(scores[p] for p in parts) - best(w)[0]) < 1e-6
+    text = "ab bba abab  b"
+    assert model.decode(model.encode([text])[0]) == text
+
+
 def test_lines(docs, empty):
     rows = {(r.doc_id, r.text): r for r in docs.collect()}
     got = lines.dedup_lines(docs, keep=("score",)).collect()
