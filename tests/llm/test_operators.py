@@ -291,6 +291,8 @@ def test_urls(spark):
     weights, bias = urls.model()
     right = sum((sum(weights[g] for g in urls._grams(h, p)) + bias > 0) == bool(y) for h, p, y in rows)
     assert right > 0.97 * len(rows)
+    caught, wrong = urls.held_out()
+    assert caught > 0.4 and wrong < 0.15
 
 
 def test_pieces(docs, empty):
