@@ -15,6 +15,9 @@
 
 Defined results: null is the empty text; texts shorter than `least` bytes lose nothing; equal
 texts lose everything, as each has its strings in the other; repeated ids are separate rows.
+
+Texts are told apart by MD5; contexts by the 64-bit hash of their bytes and that of their anchor,
+which both would have to agree by chance for a string to go that occurs once.
 """
 
 from __future__ import annotations
@@ -88,10 +91,14 @@ def _texts(batch: pa.RecordBatch):
     return seen
 
 
+def _uid(data: str):
+    return F.unhex(F.md5(data))
+
+
 def repeated_spans(docs: DataFrame, least: int = 400, hot: int = HOT, block: int = BLOCK) -> DataFrame:
-    """uid, spans: for each distinct text (uid: its hash) the merged byte ranges to remove, as pairs of int32."""
+    """uid, spans: for each distinct text (uid: its MD5) the merged byte ranges to remove, as pairs of int32."""
     spark = docs.sparkSession
-    texts = docs.select(F.xxhash64("data").alias("uid"), "data").filter(F.octet_length("data") >= least)
+    texts = docs.select(_uid("data").alias("uid"), "data").filter(F.octet_length("data") >= least)
 
     def anchors(batches):
         for batch in slices(batches):
@@ -136,10 +143,10 @@ def repeated_spans(docs: DataFrame, least: int = 400, hot: int = HOT, block: int
                     else:
                         ctx[hh, cc] = [data[x:y], times, hot_one]
             for (hh, cc), (data, n, hot_one) in ctx.items():
-                put(-1 if hot_one else (hh >> 8) % n_buckets, hh, cc, n, data.tobytes(), 0, 0)
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array(rows["bucket"], pa.int64()), "h": pa.array(rows["h"], pa.int64()), "c": pa.array(rows["c"], pa.int64()), "n": pa.array(rows["n"], pa.int64()), "data": pa.array(rows["data"], pa.binary()), "uid": pa.array(rows["uid"], pa.int64()), "a": pa.array(rows["a"], pa.int64())})
+                put(-1 if hot_one else (hh >> 8) % n_buckets, hh, cc, n, data.tobytes(), None, 0)
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array(rows["bucket"], pa.int64()), "h": pa.array(rows["h"], pa.int64()), "c": pa.array(rows["c"], pa.int64()), "n": pa.array(rows["n"], pa.int64()), "data": pa.array(rows["data"], pa.binary()), "uid": pa.array(rows["uid"], pa.binary()), "a": pa.array(rows["a"], pa.int64())})
 
-    schema = "bucket long, h long, c long, n long, data binary, uid long, a long"
+    schema = "bucket long, h long, c long, n long, data binary, uid binary, a long"
     found = cut(texts.mapInArrow(contexts, schema))
 
     def marked(key, table):
@@ -204,15 +211,15 @@ def repeated_spans(docs: DataFrame, least: int = 400, hot: int = HOT, block: int
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, pa.binary())], ["h", "c", "spans"])
 
     each = "s long, h long, c long, p long, n long"
-    twice = often_seen.mapInArrow(strings, each).groupBy("s").agg(F.sum("n").alias("t")).filter("t > 1").select("s")
+    twice = often_seen.mapInArrow(strings, each).groupBy("h", "s").agg(F.sum("n").alias("t")).filter("t > 1").select("h", "s")
     some = (
-        often_seen.filter("n = 1").mapInArrow(strings, each).join(twice, "s", "left_semi")
+        often_seen.filter("n = 1").mapInArrow(strings, each).join(cut(twice), ["h", "s"], "left_semi")
         .groupBy("h", "c").agg(F.collect_list("p").alias("at"))  # as many as a run has strings
         .select("h", "c", F.lit(1).cast("long").alias("n"), F.lit(0).alias("size"), "at")
     )
     every_string = often_seen.filter("n > 1").select("h", "c", "n", F.octet_length("data").alias("size"), F.array().cast("array<long>").alias("at"))
     marks = marks.unionByName(some.union(every_string).mapInArrow(ranges, "h long, c long, spans binary"))
-    every = found.filter("bucket = -2").select("h", "c", "uid", "a").distinct().join(marks, ["h", "c"]).select("uid", "a", "spans")
+    every = found.filter("bucket = -2").select("h", "c", "uid", "a").distinct().join(cut(marks), ["h", "c"]).select("uid", "a", "spans")
 
     def merged(key, table):
         parts = [np.frombuffer(s, np.int32).reshape(-1, 2).astype(np.int64) + a for s, a in zip(table.column("spans").to_pylist(), table.column("a").to_pylist())]
@@ -222,9 +229,9 @@ def repeated_spans(docs: DataFrame, least: int = 400, hot: int = HOT, block: int
         new = np.append(True, x[1:, 0] > top[:-1])
         lo = x[new, 0]
         hi = top[np.append(np.flatnonzero(new)[1:], len(x)) - 1]
-        return pa.table({"uid": pa.array([key[0].as_py()], pa.int64()), "spans": pa.array([np.stack([lo, hi], 1).astype(np.int32).tobytes()], pa.binary())})
+        return pa.table({"uid": pa.array([key[0].as_py()], pa.binary()), "spans": pa.array([np.stack([lo, hi], 1).astype(np.int32).tobytes()], pa.binary())})
 
-    return every.groupBy("uid").applyInArrow(merged, "uid long, spans binary")
+    return every.groupBy("uid").applyInArrow(merged, "uid binary, spans binary")
 
 
 def _ranges(mark: np.ndarray, least: int) -> np.ndarray:
@@ -263,5 +270,5 @@ def dedup_substrings(docs: DataFrame, least: int = 400, doc_id: str = "doc_id",
                 ["doc_id", "n_bytes", "spans", "kept"],
             )
 
-    joined = rows.withColumn("uid", F.xxhash64("data")).join(spans, "uid", "left").select("doc_id", "data", "spans")
+    joined = rows.withColumn("uid", _uid("data")).join(spans, "uid", "left").select("doc_id", "data", "spans")
     return joined.mapInArrow(cleaned, "doc_id long, n_bytes long, spans array<struct<start:int,stop:int>>, kept binary")
