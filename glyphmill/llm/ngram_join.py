@@ -35,6 +35,8 @@ from .common import bloom, components, cut, hit, mix, shingle_sets, slices
 HEAVY = 200_000
 #: Postings that one task of the inverted index aims at.
 POSTINGS = 250_000
+#: Shingles of more groups are met by classes of size.
+CROWD = 64
 
 _SIGNED = np.int64
 
@@ -137,33 +139,34 @@ def jaccard_links(docs: DataFrame, k: int = 5, threshold: float = 0.75, doc_id:
 
     members = cut(texts.mapInArrow(member_rows, "doc_id long, n long, gid long, sid long, bits binary"))
 
-    # -- the inverted index, packed: a row is what one task has for one bucket of shingles
+    # -- the inverted index, packed: a row is what one task has for one bucket of shingles. A light shingle is told apart by 32 more
+    # bits within its bucket (two that agree by chance only add a candidate), a heavy one, in any bucket, by its rank
     def packed(batches):
         held: dict[int, tuple] = {}
         count = 0
 
         def flush():
-            gid = np.fromiter(held, np.int64, len(held))
-            size = np.array([v[1] for v in held.values()], np.int64)
             lens = np.array([len(v[0]) for v in held.values()])
+            gid = np.repeat(np.fromiter(held, np.int64, len(held)), lens)
             tok = np.concatenate([v[0] for v in held.values()])
-            local = np.repeat(np.arange(len(gid), dtype=np.int32), lens)
             pos = np.arange(len(tok), dtype=np.int64) - np.repeat(np.cumsum(lens) - lens, lens)
-            light = pos < np.repeat([v[2] for v in held.values()], lens)
-            bucket = np.where(light, (tok >> np.uint64(20)) % np.uint64(n_buckets), np.uint64(n_buckets) + (gid.view(np.uint64)[local] >> np.uint64(20)) % np.uint64(n_buckets)).astype(np.int64)
-            by = np.lexsort((tok, bucket))
+            late = np.flatnonzero(pos >= np.repeat([v[1] for v in held.values()], lens))
+            bucket = ((tok >> np.uint64(20)) % np.uint64(n_buckets)).astype(np.int64)
+            bucket[late] = n_buckets + ((gid[late].view(np.uint64) >> np.uint64(20)) % np.uint64(n_buckets)).astype(np.int64)
+            told = (mix(tok) >> np.uint64(32)).astype(np.uint32)
+            if len(late):
+                told[late] = heavy_rank[np.searchsorted(heavy_sorted, tok[late])]
+            by = np.lexsort((told, bucket))
             cuts = np.flatnonzero(np.diff(bucket[by], prepend=-1, append=-1))
-            rows = {"bucket": [], "tok": [], "gid": [], "n": [], "pos": []}
+            rows = {"bucket": [], "tok": [], "gid": [], "pos": []}
             for lo, hi in zip(cuts[:-1], cuts[1:]):
                 one = by[lo:hi]
-                used, mine = np.unique(local[one], return_inverse=True)
                 rows["bucket"].append(int(bucket[one[0]]))
-                rows["tok"].append(tok[one].tobytes())
-                rows["gid"].append(gid[used].tobytes() + mine.astype(np.uint16 if len(used) < 1 << 16 else np.uint32).tobytes())
-                rows["n"].append(size[used].astype(np.int32).tobytes())
-                rows["pos"].append(pos[one].astype(np.int32).tobytes())
+                rows["tok"].append(told[one].tobytes())
+                rows["gid"].append(gid[one].tobytes())
+                rows["pos"].append(pos[one].astype(np.uint16 if pos[one].max() < 1 << 16 else np.uint32).tobytes())
             held.clear()
-            return pa.RecordBatch.from_pydict({"bucket": pa.array(rows["bucket"], pa.int64()), **{c: pa.array(rows[c], pa.binary()) for c in ("tok", "gid", "n", "pos")}})
+            return pa.RecordBatch.from_pydict({"bucket": pa.array(rows["bucket"], pa.int64()), **{c: pa.array(rows[c], pa.binary()) for c in ("tok", "gid", "pos")}})
 
         for _, sets in _tokens(batches, k):
             for s in sets:
@@ -171,7 +174,7 @@ def jaccard_links(docs: DataFrame, k: int = 5, threshold: float = 0.75, doc_id:
                     p, light = prefix(s)
                     key = group_key(p, len(s))
                     if key not in held:
-                        held[key] = (p, len(s), light)
+                        held[key] = (p, light)
                         count += len(p)
                         if count > 700_000:
                             yield flush()
@@ -181,24 +184,28 @@ def jaccard_links(docs: DataFrame, k: int = 5, threshold: float = 0.75, doc_id:
 
     def repeated(key, table):
         parts = []
-        for tok, gid, n, pos in zip(*(table.column(c).to_pylist() for c in ("tok", "gid", "n", "pos"))):
-            tok, n, pos = np.frombuffer(tok, np.uint64), np.frombuffer(n, np.int32), np.frombuffer(pos, np.int32)
-            gids = np.frombuffer(gid, np.int64, len(n))
-            mine = np.frombuffer(gid, np.uint16 if len(n) < 1 << 16 else np.uint32, len(tok), 8 * len(n))
-            parts.append((tok, gids[mine], n[mine], pos))
-        tok, gid, n, pos = (np.concatenate(x) for x in zip(*parts))
+        for tok, gid, pos in zip(*(table.column(c).to_pylist() for c in ("tok", "gid", "pos"))):
+            tok = np.frombuffer(tok, np.uint32)
+            parts.append((tok, np.frombuffer(gid, np.int64), np.frombuffer(pos, np.uint16 if len(pos) == 2 * len(tok) else np.uint32).astype(np.int64)))
+        tok, gid, pos = (np.concatenate(x) for x in zip(*parts))
         by = np.lexsort((gid, tok))
-        tok, gid, n, pos = tok[by], gid[by], n[by], pos[by]
+        tok, gid, pos = tok[by].astype(np.int64), gid[by], pos[by]
         fresh = np.append(True, (tok[1:] != tok[:-1]) | (gid[1:] != gid[:-1]))
-        tok, gid, n, pos = tok[fresh], gid[fresh], n[fresh], pos[fresh]
-        if key[0].as_py() < n_buckets:
+        tok, gid, pos = tok[fresh], gid[fresh], pos[fresh]
+        bucket = key[0].as_py()
+        if bucket < n_buckets:
             same = tok[1:] == tok[:-1]
             keep = np.append(False, same) | np.append(same, False)
-            tok, gid, n, pos = tok[keep], gid[keep], n[keep], pos[keep]
-        return pa.table({"tok": tok.view(_SIGNED), "gid": gid, "n": n.astype(np.int64), "pos": pos.astype(np.int64)})
+            tok, gid, pos = tok[keep] | bucket << 32, gid[keep], pos[keep]
+        else:
+            tok = -1 - tok
+        return pa.table({"tok": tok, "gid": gid, "pos": pos})
 
-    index = texts.mapInArrow(packed, "bucket long, tok binary, gid binary, n binary, pos binary")
-    postings = cut(index.groupBy("bucket").applyInArrow(repeated, "tok long, gid long, n long, pos long"))
+    index = texts.mapInArrow(packed, "bucket long, tok binary, gid binary, pos binary")
+    postings = cut(index.groupBy("bucket").applyInArrow(repeated, "tok long, gid long, pos long"))
+    sets = members.filter("sid is not null").select("gid", "sid", "n").distinct()
+    central = postings.groupBy("gid").count().join(sets.select("gid", "n").distinct(), "gid").select("gid", "n", (F.col("count") / F.col("n")).alias("c"))
+    postings = cut(postings.join(central, "gid"))
 
     need = lambda x, y: F.ceil(F.lit(num) * (x + y) / F.lit(float(den + num)))  # noqa: E731  shared shingles that the threshold asks for
     near = lambda a, b: (
@@ -211,9 +218,8 @@ def jaccard_links(docs: DataFrame, k: int = 5, threshold: float = 0.75, doc_id:
     enough = F.col("c") + F.greatest(rest_of(F.col("n1")), rest_of(F.col("n2"))) >= need(F.col("n1"), F.col("n2"))
 
     # -- step 1: each group meets the most central group of each of its shingles
-    central = postings.groupBy("gid").agg((F.count("*") / F.first("n")).alias("c"))
     hubs = (
-        postings.join(central, "gid").groupBy("tok").agg(F.max(F.struct("c", "gid", "n", "pos")).alias("h"))
+        postings.groupBy("tok").agg(F.max(F.struct("c", "gid", "n", "pos")).alias("h"))
         .select("tok", F.col("h.gid").alias("hub"), F.struct("h.n", "h.pos").alias("h"))
     )
     star = (
@@ -222,7 +228,6 @@ def jaccard_links(docs: DataFrame, k: int = 5, threshold: float = 0.75, doc_id:
         .groupBy("gid", "hub").agg(F.count("*").alias("c"), F.min("n").alias("n1"), F.min("h.n").alias("n2"))
         .filter(enough).select("gid", "hub")
     )
-    sets = members.filter("sid is not null").select("gid", "sid", "n").distinct()
     lead = sets.groupBy("gid").agg(F.min("sid").alias("lead"))
     first = (
         sets.join(star, "gid").join(lead.withColumnRenamed("gid", "hub"), "hub").select(F.col("sid").alias("a"), F.col("lead").alias("b"))
@@ -234,12 +239,13 @@ def jaccard_links(docs: DataFrame, k: int = 5, threshold: float = 0.75, doc_id:
     # -- step 2: pairs of sets that share a prefix shingle and are still apart
     placed = cut(sets.join(label.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid")))
     spread = cut(placed.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi")))
-    where = cut(postings.join(spread, "gid"))
-    torn = cut(where.groupBy("tok").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).filter("l <> h").select("tok"))
+    where = cut(postings.drop("c").join(spread, "gid"))
+    torn = cut(where.groupBy("tok").agg(F.min("lo").alias("l"), F.max("hi").alias("h"), F.count("*").alias("groups")).filter("l <> h").select("tok", "groups"))
     # sizes that may link are in one class or in two next to each other, so a shingle of many groups is met class by class
-    of_size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)) + 1e-9).cast("int")
-    open_ = where.join(torn, "tok").select("tok", "gid", "n", "pos", "lo", "hi", of_size.alias("own"))
-    x, y = open_.withColumn("class", F.explode(F.array("own", F.col("own") + 1))).alias("x"), open_.withColumn("class", F.col("own")).alias("y")
+    of_size = F.when(F.col("groups") > CROWD, F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)) + 1e-9).cast("int"))
+    open_ = where.join(torn, "tok").select("tok", "gid", "n", "pos", "lo", "hi", F.coalesce(of_size, F.lit(-2)).alias("own"))
+    x = open_.withColumn("class", F.explode(F.when(F.col("own") < -1, F.array("own")).otherwise(F.array("own", F.col("own") + 1)))).alias("x")
+    y = open_.withColumn("class", F.col("own")).alias("y")
     once = (F.col("x.own") < F.col("y.own")) | (F.col("x.gid") < F.col("y.gid"))
     apart = (
         x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.class") == F.col("y.class")) & once & ((F.col("x.lo") != F.col("y.lo")) | (F.col("x.hi") != F.col("y.hi")) | (F.col("x.lo") != F.col("x.hi")))
@@ -279,14 +285,26 @@ def verified(texts: DataFrame, members: DataFrame, pairs: DataFrame, k: int, num
             pairs = pairs.join(whole.select(F.col("sid").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side)
         return pairs.select("a", "b", *[f"{c}_{side}" for c in columns for side in ("a", "b")])
 
-    known = members.join(_ids(pairs), "sid", "left_semi").dropDuplicates(["sid"])
+    def filtered(ids: DataFrame):
+        """A Bloom filter of the keys on every executor, and its bits."""
+        bits = 1 << min(27, max(16, (ids.count() * 12).bit_length()))
+        return texts.sparkSession.sparkContext.broadcast(bloom(ids.withColumnRenamed("sid", "h"), bits)), bits
+
+    ids = cut(_ids(pairs))
+    first, first_bits = filtered(ids)
+
+    def wanted(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(hit(first.value, np.asarray(batch.column(0)), first_bits)))
+
+    known = members.filter("sid is not null").select("sid", "n", "bits").mapInArrow(wanted, "sid long, n long, bits binary")
+    known = known.join(ids, "sid", "left_semi").dropDuplicates(["sid"])
     pairs = cut(sided(pairs, known, "bits", "n").mapInArrow(possible, "a long, b long"))
     ids = cut(_ids(pairs))
-    bits = 1 << min(27, max(16, (ids.count() * 12).bit_length()))
-    shared = texts.sparkSession.sparkContext.broadcast(bloom(ids.withColumnRenamed("sid", "h"), bits))
+    second, bits = filtered(ids)
 
     def keyed(batches):
-        table = shared.value
+        table = second.value
         for _, sets in _tokens(batches, k):
             sets = [s for s in sets if len(s)]
             keys = np.array([_set_key(s) for s in sets], np.int64)
