@@ -202,7 +202,7 @@ def has_property(cp, prop: str) -> Column:
 
 def compose(a, b) -> Column:
     ship(SparkSession.getActiveSession())
-    return F.pandas_udf(lambda x, y: pd.Series([norm.compose(int(p), int(q)) for p, q in zip(x, y)]), "int")(_col(a), _col(b))
+    return F.pandas_udf(lambda x, y: pd.Series([None if pd.isna(p) or pd.isna(q) else norm.compose(int(p), int(q)) for p, q in zip(x, y)], dtype=object), "int")(_col(a), _col(b))
 
 
 def folded_equal(a, b, tailoring: str = "NONE") -> Column:

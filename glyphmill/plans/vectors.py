@@ -45,7 +45,7 @@ BIDI = [
 SCRIPTS = [
     ("run", "70 61 79 70 61 6C", "true"), ("run", "70 430 79 70 61 6C", "false"), ("run", "2E 3B1", "true"), ("run", "2E 3B1 430", "false"), ("run", "6F22 3042", "true"), ("run", "6F22 AC00", "true"), ("run", "6F22 3105", "true"),
     ("run", "6F22 AC00 3105", "false"), ("run", "3042 AC00", "false"), ("run", "31 662", "false"), ("run", "915 966 31", "false"), ("run", "E0000", "true"), ("run", "E0000 61", "false"),
-    ("items", "3B1 3B2 20 61 62 20 3B3", "0+3 Greek, 3+3 Latin, 6+1 Greek"), ("items", "22 20 5D0 5D1", "0+4 Hebrew"), ("items", "20 2E 31", "0+3 Common"), ("items", "915 964 916", "0+3 Devanagari"), ("items", "2C80 375 2C81", "0+3 Coptic"),
+    ("items", "3B1 3B2 20 61 62 20 3B3", "0+3 Greek, 3+3 Latin, 6+1 Greek"), ("items", "22 20 5D0 5D1", "0+4 Hebrew"), ("items", "20 2E 31", "0+3 Common"), ("items", "61 964 62", "0+3 Latin"), ("items", "964 61", "0+2 Latin"), ("items", "915 964 916", "0+3 Devanagari"), ("items", "2C80 375 2C81", "0+3 Coptic"),
 ]
 NAMES = [
     ("name", "41", "LATIN CAPITAL LETTER A"), ("name", "DF", "LATIN SMALL LETTER SHARP S"), ("name", "4E00", "CJK UNIFIED IDEOGRAPH-4E00"), ("name", "17000", "TANGUT IDEOGRAPH-17000"), ("name", "AC01", "HANGUL SYLLABLE GAG"),

@@ -58,12 +58,16 @@ def to_title_simple(cp: int) -> int:
     return ord(u) if c and len(u := title_char(c)) == 1 else to_upper_simple(cp)
 
 
+# -- fixed values: simple folds of characters whose full fold is longer
+SIMPLE_FOLD = {0x1E9E: 0xDF, 0x1FD3: 0x390, 0x1FE3: 0x3B0, 0xFB05: 0xFB06}
+
+
 def case_fold_simple(cp: int, turkic: bool = False) -> int:
     c = _chr(cp)
     if cp in SIMPLE_LOWER and cp != 0x130:
         return SIMPLE_LOWER[cp]
-    if cp == 0x1E9E:
-        return 0xDF
+    if cp in SIMPLE_FOLD:
+        return SIMPLE_FOLD[cp]
     return ord(u) if c and len(u := fold_char(c, turkic)) == 1 else cp
 
 

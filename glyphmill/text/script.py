@@ -10,6 +10,9 @@ from ..ucd import properties as U
 AUGMENTED = {"Han": ("Japanese", "Korean", "HanBopomofo"), "Hiragana": ("Japanese",), "Katakana": ("Japanese",), "Hangul": ("Korean",), "Bopomofo": ("HanBopomofo",)}
 
 
+_NEUTRAL = ("Common", "Inherited")
+
+
 @functools.lru_cache(maxsize=1 << 16)
 def augmented(cp: int) -> frozenset[str] | None:
     """The scripts a codepoint goes with; None if it goes with any."""
@@ -52,20 +55,24 @@ def is_script_run(text: str) -> bool:
 
 
 def items(text: str) -> list[tuple[int, int, str]]:
-    """(start, length, script) of runs that tile the text; indices of codepoints."""
-    out: list[list] = []
-    neutral = ("Common", "Inherited")
+    """(start, length, script) of runs that tile the text; indices of codepoints.
+
+    Common and Inherited characters belong to the run before them, or at the start to the one that follows; a character
+    of another script stays in a run whose script is one of its extensions.
+    """
+    out: list[tuple[int, int, str]] = []
+    start, of = 0, "Common"  # the open run
     for i, c in enumerate(text):
-        cp = ord(c)
-        script, scx = U.value("Script", cp), U.value("Script_Extensions", cp)
-        if out:
-            run = out[-1]
-            if scx[0] in neutral or script == run[2] or run[2] in scx and run[2] not in neutral:
-                run[1] += 1
-                continue
-            if run[2] in neutral:  # leading neutrals take the script that follows
-                run[1] += 1
-                run[2] = script if script not in neutral else scx[0]
-                continue
-        out.append([i, 1, script if script not in neutral or scx[0] in neutral else scx[0]])
-    return [tuple(r) for r in out]
+        script = U.value("Script", ord(c))
+        if i == 0:
+            of = script
+        elif script in _NEUTRAL or script == of:
+            continue
+        elif of in _NEUTRAL:
+            of = script
+        elif of not in U.value("Script_Extensions", ord(c)):
+            out.append((start, i - start, of))
+            start, of = i, script
+    if text:
+        out.append((start, len(text) - start, of))
+    return out

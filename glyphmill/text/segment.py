@@ -317,7 +317,7 @@ def _breaks(i, text, lb, cl, base, prev_unit, nxt, number, flags, before_space,
     if A == "WJ" or B == "WJ" or A == "GL":
         return False
     if B == "GL":
-        return A in ("SP", "BA", "HY") or A == "HH"
+        return A in ("SP", "BA", "HY", "HH")
     S = cl[spaced] if spaced >= 0 else ""
     if tailoring != "STRICT" and A not in ("BB", "OP", "QU", "SP"):
         ch = text[i]
@@ -367,11 +367,11 @@ def _breaks(i, text, lb, cl, base, prev_unit, nxt, number, flags, before_space,
             return False
     if A == "CB" or B == "CB":
         return True
-    if (A in ("HY",) or text[u] == "‐") and B in ("AL", "HL") and (P < 0 or cl[P] in ("BK", "CR", "LF", "NL", "SP", "ZW", "CB", "GL")):
+    if A in ("HY", "HH") and B in ("AL", "HL") and (P < 0 or cl[P] in ("BK", "CR", "LF", "NL", "SP", "ZW", "CB", "GL")):
         return False
-    if P >= 0 and cl[P] == "HL" and (A == "HY" or A == "BA" and not east(u)) and B != "HL":
+    if P >= 0 and cl[P] == "HL" and (A == "HY" or A in ("BA", "HH") and not east(u)) and B != "HL":
         return False
-    if B in ("BA", "HY", "NS") or A == "BB":
+    if B in ("BA", "HH", "HY", "NS") or A == "BB":
         return False
     if A == "SY" and B == "HL" or B == "IN":
         return False

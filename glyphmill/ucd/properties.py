@@ -29,11 +29,12 @@ ENUMERATED: dict[str, tuple[str, str, str]] = {
     "General_Category": ("gc", "Unassigned", "Uppercase_Letter Lowercase_Letter Titlecase_Letter Modifier_Letter Other_Letter Nonspacing_Mark Spacing_Mark Enclosing_Mark Decimal_Number Letter_Number Other_Number Connector_Punctuation Dash_Punctuation Open_Punctuation Close_Punctuation Initial_Punctuation Final_Punctuation Other_Punctuation Math_Symbol Currency_Symbol Modifier_Symbol Other_Symbol Space_Separator Line_Separator Paragraph_Separator Control Format Surrogate Private_Use Unassigned"),
     "Bidi_Class": ("bc", "Left_To_Right", "Left_To_Right Right_To_Left Arabic_Letter European_Number European_Separator European_Terminator Arabic_Number Common_Separator Nonspacing_Mark Boundary_Neutral Paragraph_Separator Segment_Separator White_Space Other_Neutral Left_To_Right_Embedding Left_To_Right_Override Right_To_Left_Embedding Right_To_Left_Override Pop_Directional_Format Left_To_Right_Isolate Right_To_Left_Isolate First_Strong_Isolate Pop_Directional_Isolate"),
     "East_Asian_Width": ("ea", "Neutral", "Ambiguous Fullwidth Halfwidth Neutral Narrow Wide"),
-    "Line_Break": ("lb", "Unknown", "Ambiguous Aksara Aksara_Prebase Aksara_Start Alphabetic Break_After Break_Before Break_Both Break_Symbols Carriage_Return Close_Parenthesis Close_Punctuation Combining_Mark Complex_Context Conditional_Japanese_Starter Contingent_Break E_Base E_Modifier Exclamation Glue H2 H3 Hebrew_Letter Hyphen Ideographic Infix_Numeric Inseparable JL JT JV Line_Feed Mandatory_Break Next_Line Nonstarter Numeric Open_Punctuation Postfix_Numeric Prefix_Numeric Quotation Regional_Indicator Space Surrogate Unknown Virama Virama_Final Word_Joiner ZWJ ZWSpace"),
+    "Line_Break": ("lb", "Unknown", "Ambiguous Aksara Aksara_Prebase Aksara_Start Alphabetic Break_After Break_Before Break_Both Break_Symbols Carriage_Return Close_Parenthesis Close_Punctuation Combining_Mark Complex_Context Conditional_Japanese_Starter Contingent_Break E_Base E_Modifier Exclamation Glue H2 H3 Hebrew_Letter Hyphen Ideographic Infix_Numeric Inseparable JL JT JV Line_Feed Mandatory_Break Next_Line Nonstarter Numeric Open_Punctuation Postfix_Numeric Prefix_Numeric Quotation Regional_Indicator Space Surrogate Unambiguous_Hyphen Unknown Virama Virama_Final Word_Joiner ZWJ ZWSpace"),
     "Grapheme_Cluster_Break": ("GCB", "Other", "CR LF Control Extend ZWJ Regional_Indicator Prepend SpacingMark L V T LV LVT Other"),
     "Word_Break": ("WB", "Other", "CR LF Newline Extend ZWJ Regional_Indicator Format Katakana Hebrew_Letter ALetter Single_Quote Double_Quote MidNumLet MidLetter MidNum Numeric ExtendNumLet WSegSpace Other"),
     "Sentence_Break": ("SB", "Other", "CR LF Extend Sep Format Sp Lower Upper OLetter Numeric ATerm SContinue STerm Close Other"),
     "Joining_Type": ("jt", "Non_Joining", "Dual_Joining Join_Causing Left_Joining Non_Joining Right_Joining Transparent"),
+    "Joining_Group": ("jg", "No_Joining_Group", "African_Feh African_Noon African_Qaf Ain Alaph Alef Beh Beth Burushaski_Yeh_Barree Dal Dalath_Rish E Farsi_Yeh Fe Feh Final_Semkath Gaf Gamal Hah Hanifi_Rohingya_Kinna_Ya Hanifi_Rohingya_Pa He Heh Heh_Goal Heth Kaf Kaph Kashmiri_Yeh Khaph Knotted_Heh Lam Lamadh Malayalam_Bha Malayalam_Ja Malayalam_Lla Malayalam_Llla Malayalam_Nga Malayalam_Nna Malayalam_Nnna Malayalam_Nya Malayalam_Ra Malayalam_Ssa Malayalam_Tta Manichaean_Aleph Manichaean_Ayin Manichaean_Beth Manichaean_Daleth Manichaean_Dhamedh Manichaean_Five Manichaean_Gimel Manichaean_Heth Manichaean_Hundred Manichaean_Kaph Manichaean_Lamedh Manichaean_Mem Manichaean_Nun Manichaean_One Manichaean_Pe Manichaean_Qoph Manichaean_Resh Manichaean_Sadhe Manichaean_Samekh Manichaean_Taw Manichaean_Ten Manichaean_Teth Manichaean_Thamedh Manichaean_Twenty Manichaean_Waw Manichaean_Yodh Manichaean_Zayin Meem Mim No_Joining_Group Noon Nun Nya Pe Qaf Qaph Reh Reversed_Pe Rohingya_Yeh Sad Sadhe Seen Semkath Shin Straight_Waw Swash_Kaf Syriac_Waw Tah Taw Teh_Marbuta Teh_Marbuta_Goal Teth Thin_Noon Thin_Yeh Vertical_Tail Waw Yeh Yeh_Barree Yeh_With_Tail Yudh Yudh_He Zain Zhain"),
     "Hangul_Syllable_Type": ("hst", "Not_Applicable", "Leading_Jamo Vowel_Jamo Trailing_Jamo LV_Syllable LVT_Syllable Not_Applicable"),
     "Decomposition_Type": ("dt", "None", "Canonical Circle Compat Final Font Fraction Initial Isolated Medial Narrow Nobreak None Small Square Sub Super Vertical Wide"),
     "Numeric_Type": ("nt", "None", "Decimal Digit Numeric None"),
@@ -115,6 +116,21 @@ def _ranges_of(text: str):
         yield int(a, 16), int(b or a, 16) + 1
 
 
+# -- fixed values: where 17.0 differs from the property source; found by trying older values until count and hash agreed (of Line_Break the count alone does)
+OVERRIDES = {
+    "Bidi_Class": [("Nonspacing_Mark", "1B3A 1B3C 1B42"), ("Left_To_Right", "D800-DFFF")],
+    "East_Asian_Width": [("Neutral", "D800-DFFF")],
+    "Line_Break": [("Prefix_Numeric", "20C2-20C4"), ("Break_After", "00AD"), ("Ambiguous", "00B7"), ("Alphabetic", "0387 2800"), ("Glue", "034F"), ("Ideographic", "FE51")],
+    "Numeric_Type": [("None", "32403 324DF")],
+    "Indic_Conjunct_Break": [("None", "1CF5-1CF6 11A3A")],
+    "Indic_Syllabic_Category": [("Vowel_Independent", "16100")],
+    "Changes_When_NFKC_Casefolded": [(True, "2065 FFF0-FFF8 E0000 E0002-E001F E0080-E00FF E01F0-E0FFF")],
+    "Script_Extensions": [(("Tamil",), "0B83"), (("Bengali", "Devanagari"), "1CF5-1CF6")],
+    "Diacritic": [(False, "0656 06E2 08D3")],
+    "Extended_Pictographic": [(True, "1F1AE 1F7DA-1F7DB 1F7F1-1F7FF")],
+}
+
+
 @functools.cache
 def codes(prop: str) -> tuple[np.ndarray, tuple[str, ...]]:
     """Per codepoint a number, and the long name of each number; for enumerated properties."""
@@ -143,6 +159,9 @@ def codes(prop: str) -> tuple[np.ndarray, tuple[str, ...]]:
     if prop == "General_Category":
         out[0xD800:0xE000] = listed.index("Surrogate")
         out[0x0295] = listed.index("Other_Letter")
+    for name, text in OVERRIDES.get(prop, ()):
+        for a, b in _ranges_of(text):
+            out[a:b] = listed.index(name)
     return out, listed
 
 
@@ -182,11 +201,14 @@ def binary(prop: str) -> np.ndarray:
         for c in np.flatnonzero(assigned()):
             if not 0xD800 <= c < 0xE000:
                 out[c] = test(chr(c))
-        return out
-    for a, b in _spans(rf"\p{{{prop}}}+"):
-        out[a:b] = True
-    if prop not in OVER_ALL:
-        out &= ~too_new()
+    else:
+        for a, b in _spans(rf"\p{{{prop}}}+"):
+            out[a:b] = True
+        if prop not in OVER_ALL:
+            out &= ~too_new()
+    for holds, text in OVERRIDES.get(prop, ()):
+        for a, b in _ranges_of(text):
+            out[a:b] = holds
     return out
 
 
@@ -220,9 +242,16 @@ def script_extensions() -> tuple[np.ndarray, tuple[tuple[str, ...], ...]]:
             m.add(own)
         key = tuple(sorted(m))
         out[c] = sets.setdefault(key, len(sets))
+    for scripts, text in OVERRIDES["Script_Extensions"]:
+        for a, b in _ranges_of(text):
+            out[a:b] = sets.setdefault(scripts, len(sets))
     return out, tuple(sets)
 
 
+# -- fixed values: numbers that the interpreter's older data lack
+NUMERIC_17 = [((1, 1), "12038-12039 12079 1230B 16FF4"), ((2, 1), "1222B 12399 16FF6"), ((3, 1), "1230D"), ((1, 2), "12226"), ((3, 2), "16FF5")]
+
+
 @functools.cache
 def numeric_values() -> dict[int, tuple[int, int]]:
     """Exact values as (numerator, denominator)."""
@@ -235,6 +264,9 @@ def numeric_values() -> dict[int, tuple[int, int]]:
             f = Fraction(v).limit_denominator(1000)
             out[int(c)] = (f.numerator, f.denominator)
     out[0x5146] = (10**12, 1)
+    for value, text in NUMERIC_17:
+        for a, b in _ranges_of(text):
+            out.update(dict.fromkeys(range(a, b), value))
     for a, b, base in ((0x1CCF0, 0x1CCF9, 0), (0x10D40, 0x10D49, 0), (0x116D0, 0x116D9, 0), (0x116DA, 0x116E3, 0), (0x11BF0, 0x11BF9, 0), (0x16130, 0x16139, 0), (0x16D70, 0x16D79, 0), (0x1E5F1, 0x1E5FA, 0), (0x11DE0, 0x11DE9, 0)):
         for c in range(a, b + 1):
             out[c] = (c - a + base, 1)
@@ -274,10 +306,35 @@ def runs(prop: str) -> list[tuple[int, int, str]]:
     return [(int(a), int(b) - 1, name(int(of[a]))) for a, b in zip(edge, np.append(edge[1:], SIZE))]
 
 
+def mapping_runs(name: str) -> list[tuple[int, int, str]]:
+    """Maximal ranges of a case mapping or of the numeric values, as text: codepoints in hex or a fraction; None where nothing changes."""
+    from ..text import case
+
+    def codepoints(found, c: int) -> str:
+        found = [ord(x) for x in found] if isinstance(found, str) else [found]
+        return "None" if found == [c] else " ".join(f"{x:04X}" for x in found)
+
+    of = {
+        "Simple_Uppercase_Mapping": case.to_upper_simple, "Simple_Lowercase_Mapping": case.to_lower_simple, "Simple_Titlecase_Mapping": case.to_title_simple, "Simple_Case_Folding": case.case_fold_simple,
+        "Uppercase_Mapping": lambda c: case.to_upper(chr(c)), "Lowercase_Mapping": lambda c: case.to_lower(chr(c)), "Titlecase_Mapping": lambda c: case.title_char(chr(c)), "Case_Folding": lambda c: case.case_fold(chr(c)),
+    }
+    if name == "Numeric_Value":
+        text = lambda c: "{}/{}".format(*numeric_values()[c]) if c in numeric_values() else "None"
+    else:
+        text = lambda c: "None" if 0xD800 <= c < 0xE000 else codepoints(of[name](c), c)
+    out: list[tuple[int, int, str]] = []
+    start, now = 0, text(0)
+    for c in range(1, SIZE):
+        if (t := text(c)) != now:
+            out.append((start, c - 1, now))
+            start, now = c, t
+    return [*out, (start, SIZE - 1, now)]
+
+
 def fingerprint(prop: str) -> tuple[int, str]:
     """How many maximal ranges the property has, and the FNV-1a hash of their text."""
     h = 0xCBF29CE484222325
-    rows = runs(prop)
+    rows = mapping_runs(prop) if prop.endswith(("_Mapping", "_Folding")) or prop == "Numeric_Value" else runs(prop)
     for a, b, v in rows:
         for byte in f"{a:06X}..{b:06X} {v}\n".encode():
             h = (h ^ byte) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
@@ -333,7 +390,7 @@ GC_SHORT = "Lu Ll Lt Lm Lo Mn Mc Me Nd Nl No Pc Pd Ps Pe Pi Pf Po Sm Sc Sk So Zs
 _CCC = {0: "Not_Reordered", 1: "Overlay", 6: "Han_Reading", 7: "Nukta", 8: "Kana_Voicing", 9: "Virama", 200: "Attached_Below_Left", 202: "Attached_Below", 214: "Attached_Above", 216: "Attached_Above_Right", 218: "Below_Left", 220: "Below", 222: "Below_Right", 224: "Left", 226: "Right", 228: "Above_Left", 230: "Above", 232: "Above_Right", 233: "Double_Below", 234: "Double_Above", 240: "Iota_Subscript"}
 _CCC_SHORT = {"NR": 0, "OV": 1, "HANR": 6, "NK": 7, "KV": 8, "VR": 9, "ATBL": 200, "ATB": 202, "ATA": 214, "ATAR": 216, "BL": 218, "B": 220, "BR": 222, "L": 224, "R": 226, "AL": 228, "A": 230, "AR": 232, "DB": 233, "DA": 234, "IS": 240}
 #: Short names of line break and bidi classes, which differ from the long names' capitals.
-LB_SHORT = dict(zip("AI AK AP AS AL BA BB B2 SY CR CP CL CM SA CJ CB EB EM EX GL H2 H3 HL HY ID IS IN JL JT JV LF BK NL NS NU OP PO PR QU RI SP SG XX VI VF WJ ZWJ ZW".split(), ENUMERATED["Line_Break"][2].split()))
+LB_SHORT = dict(zip("AI AK AP AS AL BA BB B2 SY CR CP CL CM SA CJ CB EB EM EX GL H2 H3 HL HY ID IS IN JL JT JV LF BK NL NS NU OP PO PR QU RI SP SG HH XX VI VF WJ ZWJ ZW".split(), ENUMERATED["Line_Break"][2].split()))
 BC_SHORT = dict(zip("L R AL EN ES ET AN CS NSM BN B S WS ON LRE LRO RLE RLO PDF LRI RLI FSI PDI".split(), ENUMERATED["Bidi_Class"][2].split()))
 
 
