@@ -161,7 +161,7 @@ FUNCTIONS: dict[str, tuple[Callable, str]] = {
     "u_boundaries": (lambda t, kind="grapheme", **o: segment.boundaries(t, kind, **o), "array<int>"),
     "u_byte_boundaries": (lambda t, kind="grapheme", **o: segment.byte_offsets(t, segment.boundaries(t, kind, **o)), "array<int>"),
     "u_segments": (lambda t, kind="word", **o: segment.segments(t, kind, **o), "array<string>"),
-    "u_grapheme_count": (lambda t: max(0, len(segment.boundaries(t, "grapheme")) - 1), "int"),
+    "u_grapheme_count": (segment.grapheme_count, "int"),
     "u_is_script_run": (script.is_script_run, "boolean"),
     "u_script_items": (lambda t: [{"start": a, "length": n, "script": s} for a, n, s in script.items(t)], "array<struct<start:int,length:int,script:string>>"),
     "u_bidi_levels": (_levels, "struct<paragraph_level:int,levels:array<int>>"), "u_bidi_reorder": (lambda x: bidi.reorder([int(v) for v in x]), "array<int>"),

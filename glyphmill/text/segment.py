@@ -6,21 +6,26 @@ further left is kept as state, so a text costs time in proportion to its length.
 
 from __future__ import annotations
 
+import functools
+
+import numpy as np
+
 from ..ucd import properties as U
 
 KINDS = ("grapheme", "word", "sentence", "line")
 
 
+def _codepoints(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+@functools.cache
+def _names(prop: str) -> np.ndarray:
+    return np.array(U.codes(prop)[1], dtype=object)
+
+
 def _classes(text: str, prop: str) -> list[str]:
-    of, names = U.codes(prop)
-    seen: dict[str, str] = {}
-    out = []
-    for c in text:
-        v = seen.get(c)
-        if v is None:
-            v = seen[c] = names[of[ord(c)]]
-        out.append(v)
-    return out
+    return _names(prop)[U.codes(prop)[0][_codepoints(text)]].tolist()
 
 
 def boundaries(text: str, kind: str, tailoring: str = "STRICT", writing: str = "NEUTRAL", provider=None) -> list[int]:
@@ -62,9 +67,49 @@ def segments(text: str, kind: str, **options) -> list[str]:
 # ---- grapheme clusters -------------------------------------------------------------------
 
 
+@functools.cache
+def _joins() -> np.ndarray:
+    """Codepoints that may belong to a cluster of several, other than a line end; whatever stands between two others is a boundary."""
+    of, names = U.codes("Grapheme_Cluster_Break")
+    alone = np.isin(of, [names.index(x) for x in ("Other", "Control", "LF", "CR")])
+    return ~alone | U.binary("Extended_Pictographic") | (U.codes("Indic_Conjunct_Break")[0] != U.codes("Indic_Conjunct_Break")[1].index("None"))
+
+
+def _inner(text: str) -> np.ndarray:
+    """For each place between two characters whether it is a cluster boundary; rules are asked only around characters that may join."""
+    cp = _codepoints(text)
+    cut = ~((cp[:-1] == 13) & (cp[1:] == 10))
+    hard = np.flatnonzero(_joins()[cp])
+    _ask(text, cut, np.maximum(hard - 1, 0), np.minimum(hard + 2, len(cp)), _grapheme_rules)
+    return cut
+
+
+def _ask(text: str, cut: np.ndarray, first: np.ndarray, last: np.ndarray, rules) -> None:
+    """Let the rules decide inside the windows first..last (in order; those that overlap are one window)."""
+    if not len(first):
+        return
+    last = np.maximum.accumulate(last)
+    new = np.flatnonzero(np.append(True, first[1:] >= last[:-1]))
+    for a, b in zip(first[new].tolist(), last[np.append(new[1:] - 1, len(last) - 1)].tolist()):
+        cut[a : b - 1] = False
+        found = rules(text[a:b])
+        if found:
+            cut[np.array(found) + (a - 1)] = True
+
+
+def grapheme_count(text: str) -> int:
+    if text.isascii() and "\r" not in text:
+        return len(text)
+    return int(_inner(text).sum()) + 1 if text else 0
+
+
 def _grapheme(text: str) -> list[int]:
     if text.isascii() and "\r" not in text:
         return list(range(1, len(text)))
+    return (np.flatnonzero(_inner(text)) + 1).tolist()
+
+
+def _grapheme_rules(text: str) -> list[int]:
     g = _classes(text, "Grapheme_Cluster_Break")
     incb = _classes(text, "Indic_Conjunct_Break")
     picto = U.binary("Extended_Pictographic")
@@ -118,6 +163,25 @@ _MID_NUM = ("MidNum", "MidNumLet", "Single_Quote")
 
 
 def _word(text: str) -> list[int]:
+    """Pairs of letters, digits, spaces and others decide by themselves, and so does a mark between two of them; the rules are asked around the rest."""
+    of, names = U.codes("Word_Break")
+    cp = _codepoints(text)
+    w = of[cp]
+    is_ = lambda *which: np.isin(w, [names.index(x) for x in which])
+    letter, digit, space = is_("ALetter"), is_("Numeric"), is_("WSegSpace")
+    plain = letter | digit | space | is_("Other", "CR", "LF", "Newline")
+    run = letter | digit
+    cut = ~(run[:-1] & run[1:] | space[:-1] & space[1:] | (cp[:-1] == 13) & (cp[1:] == 10))
+    between = is_("MidLetter", "MidNumLet", "MidNum", "Single_Quote") & np.append(True, plain[:-1]) & np.append(plain[1:], True)
+    at = np.flatnonzero(between[1:-1]) + 1
+    held = letter[at - 1] & letter[at + 1] & ~is_("MidNum")[at] | digit[at - 1] & digit[at + 1] & ~is_("MidLetter")[at]
+    cut[at[held] - 1] = cut[at[held]] = False
+    hard = np.flatnonzero(~plain & ~between)
+    _ask(text, cut, np.maximum(hard - 1, 0), np.minimum(hard + 2, len(cp)), _word_rules)
+    return (np.flatnonzero(cut) + 1).tolist()
+
+
+def _word_rules(text: str) -> list[int]:
     w = _classes(text, "Word_Break")
     picto = U.binary("Extended_Pictographic")
     n = len(w)
@@ -168,6 +232,21 @@ _STOP_LOOK = ("OLetter", "Upper", "Lower", "Sep", "CR", "LF", "STerm", "ATerm")
 
 
 def _sentence(text: str) -> list[int]:
+    """The rules are asked from what comes before each terminator or separator to what ends the search after it; there is no boundary elsewhere."""
+    of, names = U.codes("Sentence_Break")
+    s = of[_codepoints(text)]
+    n = len(s)
+    is_ = lambda *which: np.isin(s, [names.index(x) for x in which])
+    cut = np.zeros(max(0, n - 1), bool)
+    term = np.flatnonzero(is_("STerm", "ATerm", *_SEP))
+    if len(term):
+        solid = np.maximum.accumulate(np.where(is_("Extend", "Format"), 0, np.arange(n)))  # the last place that is not skipped
+        stops = np.append(np.flatnonzero(is_(*_STOP_LOOK)), n - 1)
+        _ask(text, cut, solid[np.maximum(term - 1, 0)], np.minimum(stops[np.searchsorted(stops[:-1], term + 1)] + 1, n), _sentence_rules)
+    return (np.flatnonzero(cut) + 1).tolist()
+
+
+def _sentence_rules(text: str) -> list[int]:
     s = _classes(text, "Sentence_Break")
     n = len(s)
     lower = [False] * (n + 1)  # a Lower comes before anything that stops the search

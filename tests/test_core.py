@@ -102,3 +102,21 @@ def test_break_provider():
 def test_masks():
     assert U.gc_mask("Lu") == 1 and U.gc_mask("L") == 31
     assert U.gc_mask_ranges(U.gc_mask("Nd"))[0] == (0x30, 0x39)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("ab \r\n\u0301\u200d\U0001F1E6\U0001F1E7\U0001F468\U0001F3FD\u0915\u094d\u1100\u1161\u11a8\uac00\u0600é"), max_size=14))
+def test_grapheme_windows(text):
+    """Asking the rules only around joining characters gives what they say about the whole text."""
+    assert segment._grapheme(text) == segment._grapheme_rules(text) and segment.grapheme_count(text) == (len(segment._grapheme_rules(text)) + 1 if text else 0)
+
+
+_PIECES = "a B é . , ' : ! ? ) \" 1 2 _ \r \n \u2029 \u0301 \u200d \u00ad \u05d0 \u30ab \U0001F1E6 \U0001F468 \u4e00".split(" ") + [" ", "  "]
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(st.sampled_from(_PIECES), max_size=14).map("".join))
+def test_word_and_sentence_windows(text):
+    if text:
+        assert segment._word(text) == segment._word_rules(text)
+        assert segment._sentence(text) == segment._sentence_rules(text)
