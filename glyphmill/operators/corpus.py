@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from ..sources.ucd import ucd_codepoints
+from ..sources.ucd import by_block, ucd_records
 from ..text import script as script_core
 from ..text import segment
 from ..ucd import properties as U
@@ -20,18 +20,19 @@ def codepoint_counts(df: DataFrame, text: str, *keys: str) -> DataFrame:
 
 
 def property_profile(df: DataFrame, text: str, props: list[str], *keys: str) -> DataFrame:
-    """keys, props, n: codepoints by their properties. Joins the small counts with the broadcast database (bounded by Unicode)."""
+    """keys, props, n: codepoints by their properties. Joins the small counts with the broadcast ranges (about ten thousand rows, bounded by the code space)."""
     counts = codepoint_counts(df, text, *keys)
-    dim = F.broadcast(ucd_codepoints(df.sparkSession, props))
-    return counts.join(dim, "cp", "left").groupBy(*keys, *props).agg(F.sum("n").alias("n"))
+    dim = F.broadcast(by_block(ucd_records(df.sparkSession, props)))
+    found = counts.join(dim, (F.shiftright("cp", 8) == F.col("block")) & F.col("cp").between(F.col("first"), F.col("last")), "left")
+    return found.groupBy(*keys, *props).agg(F.sum("n").alias("n"))
 
 
 def with_property(df: DataFrame, cp: str, prop: str, value: str, anti: bool = False) -> DataFrame:
-    """Rows whose codepoint is (or is not) in {property = value}: a broadcast semi join on expanded ranges."""
-    found = U.ranges(prop, value)
-    rows = df.sparkSession.createDataFrame(found or [(1, 0)], "first int, last int").filter("first <= last")
-    members = F.broadcast(rows.select(F.explode(F.sequence("first", "last")).alias(cp)))
-    return df.join(members, cp, "left_anti" if anti else "left_semi")
+    """Rows whose codepoint is (or is not) in {property = value}: a broadcast semi join on ranges by block."""
+    rows = df.sparkSession.createDataFrame(U.ranges(prop, value) or [(1, 0)], "first int, last int").filter("first <= last")
+    members = F.broadcast(by_block(rows))
+    inside = (F.shiftright(F.col(cp), 8) == members["block"]) & F.col(cp).between(members["first"], members["last"])
+    return df.join(members, inside, "left_anti" if anti else "left_semi")
 
 
 def segments(df: DataFrame, text: str, kind: str = "word", tailoring: str = "STRICT", writing: str = "NEUTRAL", provider=None, key: str = "doc_id") -> DataFrame:

@@ -24,6 +24,11 @@ def ucd_records(spark: SparkSession, props: list[str]) -> DataFrame:
     return spark.createDataFrame(rows, "first int, last int, " + ", ".join(f"`{p}` string" for p in props))
 
 
+def by_block(ranges: DataFrame) -> DataFrame:
+    """ranges (first, last, ...) with a row for each block of 256 codepoints they touch, so that a lookup is an equality join on `block`."""
+    return ranges.withColumn("block", F.explode(F.sequence(F.shiftright("first", 8), F.shiftright("last", 8))))
+
+
 def ucd_codepoints(spark: SparkSession, props: list[str], below: int = U.SIZE) -> DataFrame:
     """cp and a column for each property; made from the ranges, never stored beside them."""
     runs = ucd_records(spark, props).filter(F.col("first") < below)
