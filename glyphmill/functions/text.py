@@ -106,22 +106,35 @@ def hangul_compose(lead, vowel) -> Column:
 # -- batched functions -----------------------------------------------------------------------
 
 
-def _each(f: Callable, fields: tuple[str, ...] = (), /, **options) -> Callable:
-    """f over a batch; nulls stay null. With fields, f gives a dict and the batch a frame."""
+def _each(f: Callable, fields: tuple[str, ...] = (), /, text: bool = False, **options) -> Callable:
+    """f over a batch; nulls stay null. With fields, f gives a dict and the batch a frame. `text`: bytes that are ill-formed or a text over the limit give null."""
+
+    def one(x):
+        if text and x is not None:
+            x = _checked(x)
+        return None if x is None else f(x, **options)
 
     def run(s: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else f(x, **options) for x in s], dtype=object)
+        return pd.Series([one(x) for x in s], dtype=object)
 
     def frame(s: pd.Series) -> pd.DataFrame:
-        found = [(None if x is None else f(x, **options)) or {} for x in s]
+        found = [one(x) or {} for x in s]
         return pd.DataFrame({n: pd.Series([d.get(n) for d in found], dtype=object) for n in fields})
 
     return frame if fields else run
 
 
-def _udf(f: Callable, returns: str, /, **options):
+def _checked(x) -> str | None:
+    """A text within the limit, out of a string or well-formed bytes; else null."""
+    most = LIMITS["max_text_bytes"]
+    if isinstance(x, str):
+        return x if len(x) * 4 <= most or len(x.encode()) <= most else None
+    return utf.decode(bytes(x), "REFUSE") if len(x) <= most else None
+
+
+def _udf(f: Callable, returns: str, /, text: bool = False, **options):
     fields = tuple(part.split(":")[0] for part in returns[7:-1].split(",")) if returns.startswith("struct<") else ()
-    return F.pandas_udf(_each(f, fields, **options), returns)
+    return F.pandas_udf(_each(f, fields, text=text, **options), returns)
 
 
 def _bytes(x) -> bytes:
@@ -174,9 +187,53 @@ FUNCTIONS: dict[str, tuple[Callable, str]] = {
 }
 
 
+#: Functions of whole texts: they take strings or UTF-8 bytes.
+TEXTS = set(
+    "u_upper u_lower u_title u_case_fold u_normalize u_is_normalized u_quick_check u_stream_safe u_is_stream_safe u_boundaries u_byte_boundaries u_segments u_grapheme_count u_is_script_run u_script_items u_bidi_levels".split()
+)
+#: SQL name: (function of a text and its options, result type); the options are columns too.
+WITH_OPTIONS: dict[str, tuple[Callable, str]] = {
+    "u_normalize_to": (lambda t, form: norm.normalize(form, t), "string"), "u_is_normalized_to": (lambda t, form: norm.is_normalized(form, t), "boolean"), "u_quick_check_of": (lambda t, form: norm.quick_check_text(form, t), "string"),
+    "u_upper_in": (case.to_upper, "string"), "u_lower_in": (case.to_lower, "string"), "u_title_in": (case.to_title, "string"), "u_case_fold_in": (case.case_fold, "string"),
+    "u_boundaries_of": (lambda t, kind: segment.boundaries(t, kind), "array<int>"), "u_segments_of": (lambda t, kind: segment.segments(t, kind), "array<string>"),
+    "u_line_boundaries_in": (lambda t, tailoring, writing: segment.boundaries(t, "line", tailoring=tailoring, writing=writing), "array<int>"),
+    "u_break_at": (lambda t, kind, at: int(at) in segment.boundaries(t, kind), "boolean"), "u_bidi_levels_in": (lambda t, direction: bidi.levels(t, direction)[1], "array<int>"),
+    "u_upper_at": (lambda t, at, tailoring: case.upper_at(t, int(at), tailoring) if 0 <= at < len(t) else None, "string"),
+    "u_lower_at": (lambda t, at, tailoring: case.lower_at(t, int(at), tailoring) if 0 <= at < len(t) else None, "string"),
+    "u_title_at": (lambda t, at, tailoring: case.title_at(t, int(at), tailoring) if 0 <= at < len(t) else None, "string"),
+}
+
+
+def _with_options(name: str):
+    f, kind = WITH_OPTIONS[name]
+
+    def run(s: pd.Series, *options: pd.Series) -> pd.Series:
+        out = []
+        for x, *o in zip(s, *options):
+            x = None if x is None or any(v is None for v in o) else _checked(x)
+            out.append(None if x is None else f(x, *o))
+        return pd.Series(out, dtype=object)
+
+    # the number of columns is told by the signature
+    typed = {1: lambda s, a: run(s, a), 2: lambda s, a, b: run(s, a, b)}[f.__code__.co_argcount - 1]
+    typed.__annotations__ = {k: pd.Series for k in typed.__code__.co_varnames[: typed.__code__.co_argcount]} | {"return": pd.Series}
+    return F.pandas_udf(typed, kind)
+
+
+class Segments:
+    """Table function: a row (i, start, segment) for each segment of a text; none for null."""
+
+    def eval(self, text: str, kind: str):
+        if text is not None and (text := _checked(text)):
+            cut = segment.boundaries(text, kind)
+            cut = cut if cut[0] == 0 else [0, *cut]
+            for i, (a, b) in enumerate(zip(cut, cut[1:])):
+                yield i, a, text[a:b]
+
+
 def _call(name: str, *columns, **options) -> Column:
     f, kind = FUNCTIONS[name]
-    return _udf(f, kind, **options)(*[_col(c) for c in columns])
+    return _udf(f, kind, text=name in TEXTS, **options)(*[_col(c) for c in columns])
 
 
 def call(name: str, column, **options) -> Column:
@@ -224,8 +281,11 @@ def normalize(text, form: str = "NFC") -> Column:
 
 
 def register(spark: SparkSession) -> list[str]:
-    """Give every batched function its SQL name (default options); returns the names."""
+    """Give every batched function its SQL name (default options), those with options as arguments theirs, and the table function u_segment_rows; returns the names."""
     ship(spark)
     for name, (f, kind) in FUNCTIONS.items():
-        spark.udf.register(name, _udf(f, kind))
-    return list(FUNCTIONS)
+        spark.udf.register(name, _udf(f, kind, text=name in TEXTS))
+    for name in WITH_OPTIONS:
+        spark.udf.register(name, _with_options(name))
+    spark.udtf.register("u_segment_rows", F.udtf(Segments, returnType="i int, start int, segment string"))
+    return [*FUNCTIONS, *WITH_OPTIONS, "u_segment_rows"]

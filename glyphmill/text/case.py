@@ -182,7 +182,7 @@ def title_at(text: str, i: int, tailoring: str = "NONE") -> str:
 
 
 def to_lower(text: str, tailoring: str = "NONE") -> str:
-    if text.isascii() and tailoring == "NONE":
+    if tailoring == "NONE" and (text.isascii() or "Σ" not in text and _TO_LOWER.keys().isdisjoint(text)):
         return text.lower()
     return "".join(lower_at(text, i, tailoring) for i in range(len(text)))
 
@@ -212,8 +212,8 @@ def to_title(text: str, tailoring: str = "NONE") -> str:
 
 
 def case_fold(text: str, tailoring: str = "NONE") -> str:
-    if text.isascii() and tailoring != "TURKIC":
-        return text.lower()
+    if tailoring != "TURKIC" and (text.isascii() or _TO_LOWER.keys().isdisjoint(text)):
+        return text.casefold()
     return "".join(fold_char(c, tailoring == "TURKIC") for c in text)
 
 
