@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: The byte class of a word, as the contracts state it.
@@ -29,15 +29,28 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage ends in replicated files.
 
-    The files go when the application ends.
+    The files go when the application ends, or with `drop`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, at = _file_of(spark, path)
+    fs.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def _file_of(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def drop(*written: DataFrame) -> None:
+    """Delete the files of tables from `cut` that nothing will read again."""
+    for df in written:
+        fs, at = _file_of(df.sparkSession, df.cut_path)
+        fs.delete(at, True)
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -48,23 +61,26 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     now = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
-    for _ in range(rounds):
+    for k in range(rounds):
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m")))
         large = both.join(least, F.col("a") == F.col("k")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.filter("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k")
         small = large.join(low, F.col("a") == F.col("k"))
-        now = cut(
+        seen = Observation(f"components {uuid.uuid4().hex}")
+        after = cut(
             small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
             .select("e.*")
             .filter("a <> b")
             .distinct()
+            .observe(seen, F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(a, b))").alias("x"))
         )
-        state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if tuple(state) == before:
+        drop(now, least)
+        now, state = after, (seen.get["n"], seen.get["x"])
+        if state == before:
             break
-        before = tuple(state)
+        before = state
     else:
         raise RuntimeError("components did not settle")
     labels = now.select(F.col("a").alias("node"), F.col("b").alias("label"))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import bloom, components, cut, hit, mix, shingle_sets, slices
+from .common import bloom, components, cut, drop, hit, mix, shingle_sets, slices
 
 #: Shingles that are moved to the end of the global order: so many at most.
 HEAVY = 200_000
@@ -205,7 +205,8 @@ def jaccard_links(docs: DataFrame, k: int = 5, threshold: float = 0.75, doc_id:
     postings = cut(index.groupBy("bucket").applyInArrow(repeated, "tok long, gid long, pos long"))
     sets = members.filter("sid is not null").select("gid", "sid", "n").distinct()
     central = postings.groupBy("gid").count().join(sets.select("gid", "n").distinct(), "gid").select("gid", "n", (F.col("count") / F.col("n")).alias("c"))
-    postings = cut(postings.join(central, "gid"))
+    found, postings = postings, cut(postings.join(central, "gid"))
+    drop(found)
 
     need = lambda x, y: F.ceil(F.lit(num) * (x + y) / F.lit(float(den + num)))  # noqa: E731  shared shingles that the threshold asks for
     near = lambda a, b: (
