@@ -66,3 +66,53 @@ def missing_defaults(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.text(path).select(found.alias("line")).filter("line <> ''").select(F.transform(F.split("line", ";"), lambda x: F.trim(x)).alias("f"))
     ends = F.split(F.get("f", F.lit(0)), r"\.\.")
     return rows.select(F.conv(F.get(ends, F.lit(0)), 16, 10).cast("int").alias("first"), F.conv(F.get(ends, F.lit(1)), 16, 10).cast("int").alias("last"), F.slice("f", 2, F.greatest(F.size("f") - 1, F.lit(0))).alias("fields"))
+
+
+def read_aliases(spark: SparkSession, path: str, of_values: bool = True) -> DataFrame:
+    """property, long_name, spelling: one row a spelling, of a file of value aliases (property ; short ; long ; ...) or of property aliases (short ; long ; ...).
+
+    Combining classes have their number before the names; it is a spelling too.
+    """
+    line = F.trim(F.regexp_replace("value", "#.*$", ""))
+    f = spark.read.text(path).withColumn("line", line).filter("line <> ''").select(F.transform(F.split("line", ";"), lambda x: F.trim(x)).alias("f"))
+    at = 1 if of_values else 0
+    numbered = F.lit(of_values) & (F.get("f", F.lit(0)) == "ccc")
+    long = F.get("f", F.when(numbered, 3).otherwise(at + 1))
+    prop = F.get("f", F.lit(0)) if of_values else long
+    spelled = F.slice("f", at + 1, F.greatest(F.size("f") - at, F.lit(0)))
+    return f.select(prop.alias("property"), F.coalesce(long, F.get("f", F.lit(at))).alias("long_name"), F.explode(F.array_distinct(spelled)).alias("spelling"))
+
+
+def with_defaults(rows: DataFrame, missing: DataFrame, default: str, column: int = 0) -> DataFrame:
+    """first, last, value: maximal ranges over all codepoints of one property, out of its lines and its @missing lines (the later ones win).
+
+    Works on single codepoints, of which there are 1,114,112.
+    """
+    spread = lambda df, rank: df.select(F.explode(F.sequence("first", "last")).alias("cp"), F.get("fields", F.lit(column)).alias("value"), rank.alias("rank"))
+    every = rows.sparkSession.range(U.SIZE).select(F.col("id").cast("int").alias("cp"), F.lit(default).alias("value"), F.lit(-1).cast("long").alias("rank"))
+    said = spread(missing, F.monotonically_increasing_id()).unionByName(spread(rows, F.lit((1 << 62)).cast("long"))).unionByName(every)
+    best = said.groupBy("cp").agg(F.max_by("value", "rank").alias("value"))
+    w = Window.partitionBy("value").orderBy("cp")
+    return best.withColumn("island", F.col("cp") - F.row_number().over(w)).groupBy("value", "island").agg(F.min("cp").alias("first"), F.max("cp").alias("last")).select("first", "last", "value")
+
+
+def dedup_records(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(record_id and properties of each distinct record, first, last and record_id of each range); numbered in the order of their first range."""
+    props = [c for c in records.columns if c not in ("first", "last")]
+    distinct = records.groupBy(*props).agg(F.min("first").alias("at"))
+    distinct = distinct.withColumn("record_id", (F.row_number().over(Window.orderBy("at")) - 1).cast("int")).drop("at")
+    same = [records[p].eqNullSafe(distinct[p]) for p in props]
+    return distinct.select("record_id", *props), records.join(F.broadcast(distinct), same).select("first", "last", "record_id")
+
+
+def write_tables(spark: SparkSession, path: str, props: list[str]) -> None:
+    """The properties as Parquet tables under path: records, ranges and values."""
+    records, ranges = dedup_records(ucd_records(spark, props))
+    for name, df in (("records", records), ("ranges", ranges), ("values", ucd_values(spark).filter(F.col("property").isin(props)))):
+        df.withColumn("ucd_version", F.lit(U.UCD_VERSION)).coalesce(1).write.mode("errorifexists").parquet(f"{path}/{name}")
+
+
+def renumbered(old: DataFrame, new: DataFrame) -> DataFrame:
+    """property, code, was, now: values (property, code, long_name) of `old` that `new` has under another code or lacks; empty if it only appends."""
+    n = new.select("property", "code", F.col("long_name").alias("now"))
+    return old.select("property", "code", F.col("long_name").alias("was")).join(n, ["property", "code"], "left").filter(~F.col("was").eqNullSafe(F.col("now")))

@@ -100,3 +100,19 @@ def test_stream_equals_batch(spark, tmp_path):
     q = codepoint_totals(spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in")), "text").writeStream.format("memory").queryName("t").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c2")).start()
     q.awaitTermination(120)
     assert spark.table("t").first().n_texts == docs.count()
+
+
+def test_data_files(spark, tmp_path):
+    """Readers of the published formats, defaults, distinct records, the tables and the check of codes."""
+    (tmp_path / "aliases").write_text("# c\ngc ; Lu ; Uppercase_Letter\nccc; 230; A ; Above\nsc ; Qaai ; Inherited ; Zinh\n")
+    got = {tuple(r) for r in ucd.read_aliases(spark, str(tmp_path / "aliases")).collect()}
+    assert got == {("gc", "Uppercase_Letter", "Lu"), ("gc", "Uppercase_Letter", "Uppercase_Letter"), ("ccc", "Above", "230"), ("ccc", "Above", "A"), ("ccc", "Above", "Above"), ("sc", "Inherited", "Qaai"), ("sc", "Inherited", "Inherited"), ("sc", "Inherited", "Zinh")}
+    (tmp_path / "file").write_text("# @missing: 0000..10FFFF; N\n# @missing: 3400..4DBF; W\n0041..0042 ; Na # x\n3401 ; F\n")
+    rows_ = ucd.with_defaults(ucd.read_ucd_file(spark, str(tmp_path / "file")), ucd.missing_defaults(spark, str(tmp_path / "file")), "X").orderBy("first").collect()
+    assert [tuple(r) for r in rows_] == [(0, 0x40, "N"), (0x41, 0x42, "Na"), (0x43, 0x33FF, "N"), (0x3400, 0x3400, "W"), (0x3401, 0x3401, "F"), (0x3402, 0x4DBF, "W"), (0x4DC0, 0x10FFFF, "N")]
+    ucd.write_tables(spark, str(tmp_path / "out"), ["Hangul_Syllable_Type", "East_Asian_Width"])
+    records, ranges = (spark.read.parquet(str(tmp_path / "out" / n)) for n in ("records", "ranges"))
+    assert records.count() == records.select("Hangul_Syllable_Type", "East_Asian_Width").distinct().count()
+    assert ranges.join(records, "record_id").filter("first <= 44032 and last >= 44032").first().Hangul_Syllable_Type == "LV_Syllable"
+    values = spark.read.parquet(str(tmp_path / "out" / "values"))
+    assert ucd.renumbered(values, values).count() == 0 and ucd.renumbered(values, values.filter("code <> 1")).count() == 2
