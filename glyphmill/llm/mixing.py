@@ -97,10 +97,13 @@ def mix(docs: DataFrame, cap: float = 3.0, weights: tuple = (1, 2, 3), base: str
     """One row for each row of docs: doc_id, size, source_size, target, rate, copies, taken; and the columns in `keep`."""
     held = [F.col(c).alias(f"keep_{c}") for c in keep]
     kinds = dict(docs.dtypes)
-    told_apart = [F.col(doc_id), F.lit("mix"), F.col(text), *[F.col(c) for c in keep if "map<" not in kinds[c] and "variant" not in kinds[c]]]
+    plain = [c for c in keep if "map<" not in kinds[c] and "variant" not in kinds[c]]
+    # the order of documents does not depend on what is kept; only rows that repeat an id and text are told apart by it
+    apart = F.xxhash64(*[F.col(c) for c in plain]).bitwiseAND(F.lit(0xFFFF)) if plain else F.lit(0).cast("long")
+    order = F.xxhash64(F.col(doc_id), F.lit("mix"), F.col(text)).bitwiseAND(F.lit(-65536)).bitwiseOR(apart)
     one = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(text).alias("size"),
-        (F.col(base).cast("double") if base else F.lit(1.0)).alias("base"), F.xxhash64(*told_apart).alias("h"), *held,
+        (F.col(base).cast("double") if base else F.lit(1.0)).alias("base"), order.alias("h"), *held,
     )
     light = cut(one.drop(*[f"keep_{c}" for c in keep]))
     hist = cut(light.groupBy("source", "size", "base").agg(F.count("*").alias("n")))
@@ -163,8 +166,9 @@ def mix(docs: DataFrame, cap: float = 3.0, weights: tuple = (1, 2, 3), base: str
     # -- of equal rows a number gets one more: each part of them is told how many came before it, then gives its rows out again
     fixed = ["doc_id", "source", "size", "base", "h", "source_size", "target", "rate", "low", "of_equal", "task"]
     tied = out.filter("part").withColumn("task", F.spark_partition_id())
-    tied = cut(tied.groupBy(*fixed).agg(F.count("*").alias("times"), *[F.any_value(f"keep_{c}").alias(f"keep_{c}") for c in keep]))
-    before = F.sum("times").over(Window.partitionBy("source", "size", "base", "h").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
+    same = [f"keep_{c}" for c in plain]
+    tied = cut(tied.groupBy(*fixed, *same).agg(F.count("*").alias("times"), *[F.any_value(f"keep_{c}").alias(f"keep_{c}") for c in keep if c not in plain]))
+    before = F.sum("times").over(Window.partitionBy("source", "size", "base", "h").orderBy("task", F.xxhash64(F.lit(0), *same)).rowsBetween(Window.unboundedPreceding, -1))
     tied = tied.withColumn("before", F.coalesce(before, F.lit(0))).withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
     return whole.unionByName(result(tied, F.col("before") + F.col("k") <= F.col("of_equal")))
 
