@@ -36,6 +36,8 @@ def cut(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     fs, at = _file_of(spark, path)
     fs.deleteOnExit(at)
+    # nothing refers to the shuffles of this write any more; the driver's collector tells Spark's cleaner to delete their files now
+    spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_path = path
     return out
