@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 from .common import LOWER, UPPER, WORD
+from .alignment import align
 from .neighbours import nearest
 from .ngram_join import jaccard_links
 from .html import extract
 from .lines import dedup_lines
 from .mixing import mix
+from .periods import periodic_runs, planted
 from .pieces import MARK, encode
 from .quality import judge as judge_quality
 from .quality import train
 from .sentences import dedup_sentences
+from .simhash import near_duplicates
 from .substrings import dedup_substrings
 from .urls import judge as judge_urls
 from .urls import oracle as urls_oracle
@@ -76,11 +79,32 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(docs, train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op11_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(_table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = periodic_runs(docs.select("doc_id", planted(F.col("text"), F.col("doc_id")).alias("text")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("before"), (-r["period"]).alias("shorter"))))
+    digest = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    return found.withColumn("best", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.before")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.shorter")).alias("period"),
+        F.expr("1000 * best.length div -best.shorter").alias("exponent_milli"),
+        F.sha2(digest, 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_ngram_jaccard_join, op2_sentence_span_dedup, op3_rotated_bit_codes, op4_html_extraction,
         op5_suffix_array_dedup, op6_url_filter, op7_sentencepiece, op8_fuzzy_line_dedup,
-        op9_quality_rules, op10_source_mixing,
+        op9_quality_rules, op10_source_mixing, op11_covering_simhash, op12_tokenizer_alignment,
+        op13_periodic_runs,
     )}
 
 
