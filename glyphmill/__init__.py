@@ -1,3 +1,3 @@
-"""Unicode text analytics and data preparation on Spark."""
+"""Text analytics and data preparation on Spark."""
 
 __version__ = "0.1.0"

@@ -17,6 +17,7 @@ from .. import __version__
 from ..shipping import ship
 from ..text import bidi, case, names, norm, script, segment, utf
 from ..ucd import properties as U
+from . import lookup
 
 # -- limits and results --------------------------------------------------------------------
 
@@ -106,12 +107,14 @@ def hangul_compose(lead, vowel) -> Column:
 # -- batched functions -----------------------------------------------------------------------
 
 
-def _each(f: Callable, fields: tuple[str, ...] = (), /, text: bool = False, **options) -> Callable:
-    """f over a batch; nulls stay null. With fields, f gives a dict and the batch a frame. `text`: bytes that are ill-formed or a text over the limit give null."""
+def _each(f: Callable, fields: tuple[str, ...] = (), /, text: bool = False, limit: int | None = None, fault: str = "null", **options) -> Callable:
+    """f over a batch; nulls stay null. With fields, f gives a dict and the batch a frame. `text`: bytes that are ill-formed or a text over the limit give null, or an error."""
 
     def one(x):
+        if isinstance(x, float) and x != x:  # a null among whole numbers
+            return None
         if text and x is not None:
-            x = _checked(x)
+            x = _checked(x, limit, fault)
         return None if x is None else f(x, **options)
 
     def run(s: pd.Series) -> pd.Series:
@@ -124,17 +127,38 @@ def _each(f: Callable, fields: tuple[str, ...] = (), /, text: bool = False, **op
     return frame if fields else run
 
 
-def _checked(x) -> str | None:
-    """A text within the limit, out of a string or well-formed bytes; else null."""
-    most = LIMITS["max_text_bytes"]
-    if isinstance(x, str):
-        return x if len(x) * 4 <= most or len(x.encode()) <= most else None
-    return utf.decode(bytes(x), "REFUSE") if len(x) <= most else None
+FAULTS = ("null", "error")
 
 
-def _udf(f: Callable, returns: str, /, text: bool = False, **options):
+def _checked(x, limit: int | None, fault: str = "null") -> str | None:
+    """A text within the limit in bytes (None: no limit), out of a string or well-formed bytes; else null, or an error that says which."""
+    if isinstance(x, str):
+        result = 3 if limit is not None and len(x) * 4 > limit and len(x.encode()) > limit else 0
+    else:
+        result = 3 if limit is not None and len(x) > limit else 0
+        x = x if result else utf.decode(bytes(x), "REFUSE")
+        result = 2 if x is None else result
+    if result and fault == "error":
+        raise ValueError(RESULTS[result])
+    return None if result else x
+
+
+def text_result(text, limit: int | None = -1) -> Column:
+    """The result code that a function of whole texts has for a text or bytes: 0, 2 for ill-formed bytes, 3 over the limit (in bytes; None: none); null for null. A plain expression."""
+    limit = LIMITS["max_text_bytes"] if limit == -1 else limit
+    c = _col(text).cast("string")
+    code = F.when(~F.is_valid_utf8(c), 2).otherwise(0)
+    if limit is not None:
+        code = F.when(F.octet_length(c) > limit, 3).otherwise(code)
+    return F.when(c.isNotNull(), code)
+
+
+def _udf(f: Callable, returns: str, /, text: bool = False, limit: int | None = -1, fault: str = "null", **options):
+    if fault not in FAULTS:
+        raise ValueError(f"fault must be one of {FAULTS}")
+    limit = LIMITS["max_text_bytes"] if limit == -1 else limit
     fields = tuple(part.split(":")[0] for part in returns[7:-1].split(",")) if returns.startswith("struct<") else ()
-    return F.pandas_udf(_each(f, fields, text=text, **options), returns)
+    return F.pandas_udf(_each(f, fields, text=text, limit=limit, fault=fault, **options), returns)
 
 
 def _bytes(x) -> bytes:
@@ -151,6 +175,17 @@ def _paired(cp: int) -> dict:
     return {"bracket": other, "opens": opens}
 
 
+def utf8_prev(data, at) -> Column:
+    """Where the codepoint, or the ill-formed byte, before byte `at` begins; null at the start and for nulls."""
+    d, a = _col(data).cast("string").cast("binary"), _col(at).cast("int")
+    before = lambda n: F.substring(d, a - n + 1, F.lit(n))  # noqa: E731  the n bytes that end there
+    out = F.when(a > 0, a - 1)
+    for n in (2, 3, 4):
+        one = F.is_valid_utf8(before(n).cast("string")) & (F.char_length(before(n).cast("string")) == 1)
+        out = F.when((a >= n) & one, a - n).otherwise(out)
+    return F.when(a <= F.octet_length(d), out)
+
+
 def _numeric(cp: int) -> dict | None:
     v = U.value("Numeric_Value", cp)
     return None if v is None else {"num": v[0], "den": v[1]}
@@ -204,13 +239,14 @@ WITH_OPTIONS: dict[str, tuple[Callable, str]] = {
 }
 
 
-def _with_options(name: str):
+def _with_options(name: str, limit: int | None = -1, fault: str = "null"):
     f, kind = WITH_OPTIONS[name]
+    limit = LIMITS["max_text_bytes"] if limit == -1 else limit
 
     def run(s: pd.Series, *options: pd.Series) -> pd.Series:
         out = []
         for x, *o in zip(s, *options):
-            x = None if x is None or any(v is None for v in o) else _checked(x)
+            x = None if x is None or any(v is None for v in o) else _checked(x, limit, fault)
             out.append(None if x is None else f(x, *o))
         return pd.Series(out, dtype=object)
 
@@ -221,16 +257,29 @@ def _with_options(name: str):
 
 
 class Segments:
-    """Table function: a row (i, start, segment) for each segment of a text; none for null."""
+    """Table function: a row (i, start, segment) for each segment of a text of any length; none for null."""
 
     def eval(self, text: str, kind: str):
-        if text is not None and (text := _checked(text)):
+        if text:
             cut = segment.boundaries(text, kind)
             cut = cut if cut[0] == 0 else [0, *cut]
             for i, (a, b) in enumerate(zip(cut, cut[1:])):
                 yield i, a, text[a:b]
 
 
+class Codepoints:
+    """Table function: a row (i, byte, cp, ok) for each codepoint or ill-formed subpart of bytes under a policy; REFUSE ends at the first fault with ok false."""
+
+    def eval(self, data: bytes, policy: str):
+        if data is not None:
+            data, n = bytes(data), 0
+            for i, at, cp, ok in utf.codepoints(data, policy):
+                yield i, at, cp, ok
+                n = i + 1
+            if policy == "REFUSE" and (at := utf.error_offset(data)) is not None:
+                yield n, at, None, False
+
+
 def _call(name: str, *columns, **options) -> Column:
     f, kind = FUNCTIONS[name]
     return _udf(f, kind, text=name in TEXTS, **options)(*[_col(c) for c in columns])
@@ -243,14 +292,11 @@ def call(name: str, column, **options) -> Column:
 
 
 def property_value(cp, prop: str) -> Column:
-    """The value of any property as text; binary ones are Yes or No."""
-    ship(SparkSession.getActiveSession())
-
-    def text(c) -> str:
-        v = U.value(prop, int(c))
-        return ",".join(v) if isinstance(v, list) else "Yes" if v is True else "No" if v is False else "" if v is None else f"{v[0]}/{v[1]}" if isinstance(v, tuple) else str(v)
-
-    return F.pandas_udf(_each(text), "string")(_col(cp))
+    """The value of any property as text; binary ones are Yes or No. An index into constant arrays; numeric values, which have no table, ask a function."""
+    if prop != "Numeric_Value":
+        return lookup.property_value(_col(cp), prop)
+    v = call("u_numeric_value", cp)
+    return F.when(_col(cp).isNotNull(), F.coalesce(F.concat(v["num"].cast("string"), F.lit("/"), v["den"].cast("string")), F.lit("")))
 
 
 def has_property(cp, prop: str) -> Column:
@@ -280,12 +326,26 @@ def normalize(text, form: str = "NFC") -> Column:
     return call("u_normalize", text, form=form)
 
 
-def register(spark: SparkSession) -> list[str]:
-    """Give every batched function its SQL name (default options), those with options as arguments theirs, and the table function u_segment_rows; returns the names."""
+def register(spark: SparkSession, limit: int | None = -1, fault: str = "null") -> list[str]:
+    """Give every batched function its SQL name (default options), those with options as arguments theirs, and the table functions; returns the names.
+
+    limit: the most bytes that a function of whole texts takes, None for no limit; fault: null or error for texts over it and
+    ill-formed bytes. u_result says of a text which of them it would be.
+    """
     ship(spark)
     for name, (f, kind) in FUNCTIONS.items():
-        spark.udf.register(name, _udf(f, kind, text=name in TEXTS))
+        spark.udf.register(name, _udf(f, kind, text=name in TEXTS, limit=limit, fault=fault))
     for name in WITH_OPTIONS:
-        spark.udf.register(name, _with_options(name))
+        spark.udf.register(name, _with_options(name, limit, fault))
+    spark.udf.register("u_result", _udf(lambda x: _result(x, LIMITS["max_text_bytes"] if limit == -1 else limit), "int"))
     spark.udtf.register("u_segment_rows", F.udtf(Segments, returnType="i int, start int, segment string"))
-    return [*FUNCTIONS, *WITH_OPTIONS, "u_segment_rows"]
+    spark.udtf.register("u_codepoint_rows", F.udtf(Codepoints, returnType="i int, byte int, cp int, ok boolean"))
+    return [*FUNCTIONS, *WITH_OPTIONS, "u_result", "u_segment_rows", "u_codepoint_rows"]
+
+
+def _result(x, limit: int | None) -> int:
+    try:
+        _checked(x, limit, "error")
+    except ValueError as e:
+        return next(k for k, v in RESULTS.items() if v == str(e))
+    return 0

@@ -27,6 +27,17 @@ def property_profile(df: DataFrame, text: str, props: list[str], *keys: str) ->
     return found.groupBy(*keys, *props).agg(F.sum("n").alias("n"))
 
 
+def property_cube(df: DataFrame, text: str, props: list[str], *keys: str, rollup: bool = False) -> DataFrame:
+    """keys, props, n and total, a bit for each column that is summed over (the first column's the highest): every subtotal of property_profile.
+
+    Codepoints are counted and joined before the grouping sets expand them, so what is expanded are the few combinations of values.
+    """
+    counts = property_profile(df, text, props, *keys)
+    columns = [*keys, *props]
+    sets = counts.rollup(*columns) if rollup else counts.cube(*columns)
+    return sets.agg(F.sum("n").alias("n"), F.grouping_id(*columns).cast("long").alias("total"))
+
+
 def with_property(df: DataFrame, cp: str, prop: str, value: str, anti: bool = False) -> DataFrame:
     """Rows whose codepoint is (or is not) in {property = value}: a broadcast semi join on ranges by block."""
     rows = df.sparkSession.createDataFrame(U.ranges(prop, value) or [(1, 0)], "first int, last int").filter("first <= last")
@@ -83,6 +94,11 @@ def script_masks(spark) -> DataFrame:
     return spark.createDataFrame(rows, "first int, last int, m0 long, m1 long, m2 long, m3 long, unknown boolean")
 
 
+def digit_sets(spark) -> DataFrame:
+    """cp, digits: of each decimal digit the zero of its set."""
+    return spark.createDataFrame([(c, script_core.digit_block(c)) for c in U.numeric_values() if script_core.digit_block(c) is not None], "cp int, digits int")
+
+
 def script_runs(df: DataFrame, text: str, key: str = "doc_id") -> DataFrame:
     """key, is_run: the single-script verdict as a mergeable aggregate; the state is merged, never verdicts.
 
@@ -90,9 +106,8 @@ def script_runs(df: DataFrame, text: str, key: str = "doc_id") -> DataFrame:
     """
     spark = df.sparkSession
     dim = script_masks(spark).select(F.explode(F.sequence(F.shiftright("first", 7), F.shiftright("last", 7))).alias("b"), "*")
-    digits = spark.createDataFrame([(c, script_core.digit_block(c)) for c in U.numeric_values() if script_core.digit_block(c) is not None], "cp int, digits int")
     counts = codepoint_counts(df, text, key).withColumn("b", F.shiftright("cp", 7))
-    joined = counts.join(F.broadcast(dim), (counts["b"] == dim["b"]) & counts["cp"].between(dim["first"], dim["last"])).join(F.broadcast(digits), "cp", "left")
+    joined = counts.join(F.broadcast(dim), (counts["b"] == dim["b"]) & counts["cp"].between(dim["first"], dim["last"])).join(F.broadcast(digit_sets(spark)), "cp", "left")
     state = joined.groupBy(key).agg(
         F.sum("n").alias("n"), F.bool_or("unknown").alias("unknown"), F.countDistinct("digits").alias("digit_sets"), *[F.bit_and(f"m{i}").alias(f"m{i}") for i in range(4)]
     )

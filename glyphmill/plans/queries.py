@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import corpus
-from ..shipping import ship
+from ..operators import corpus, long_text, names, sets
+from ..shipping import new_path, ship
 from ..sources import ucd
+from ..streaming import text as streaming
 from ..ucd import properties as U
-from . import vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,47 +94,101 @@ def bidi_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("item_id", "i", F.col("b.paragraph_level").cast("long").alias("level"), F.array_max("b.levels").cast("long").alias("highest"), F.size("b.levels").cast("long").alias("n"))
 
 
-def property_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Range counts and hashes of whole properties and mappings, computed on executors."""
-    return _fingerprints(spark, FINGERPRINTS)
+def document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = corpus.segments(_table(spark, sf_dir, "documents"), "text", "word")
+    return w.filter(F.col("segment").rlike(r"[\p{L}\p{Nd}]")).groupBy("doc_id").agg(F.count("*").alias("n_words"))
+
+
+def bidi_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = corpus.paragraphs(_table(spark, sf_dir, "documents"), "text").withColumn("b", T.call("u_bidi_levels", "paragraph"))
+    return p.groupBy("doc_id").agg(F.count("*").alias("n_paragraphs"), F.max("b.paragraph_level").cast("long").alias("level"), F.max(F.array_max("b.levels")).cast("long").alias("highest"), F.sum(F.size("b.levels")).alias("n_codepoints"))
+
+
+def property_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every property (enumerated, binary, combining class, script extensions) how many characters have each value."""
+    counts = corpus.codepoint_counts(_table(spark, sf_dir, "documents"), "text")
+    found = counts.join(ucd.by_block(ucd.all_runs(spark)), (F.shiftright("cp", 8) == F.col("block")) & F.col("cp").between(F.col("first"), F.col("last")))
+    return found.groupBy("property", "value").agg(F.sum("n").alias("n"))
+
+
+#: Looked up in generated code; the others have a range join.
+LOOKED_UP = ("Bidi_Class", "East_Asian_Width", "Sentence_Break", "Joining_Type", "Alphabetic", "Quotation_Mark")
+
+
+def property_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = corpus.codepoint_counts(_table(spark, sf_dir, "pages"), "html")
+    return counts.select("n", *[T.property_value("cp", p).alias(p.lower()) for p in LOOKED_UP]).groupBy(*[p.lower() for p in LOOKED_UP]).agg(F.sum("n").alias("n"))
 
 
-def line_break_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same of Line_Break, which is not exact yet."""
-    return _fingerprints(spark, INEXACT)
+#: name: (property, value) of sets that are composed
+SETS = {"latin": ("Script", "Latin"), "greek": ("Script", "Greek"), "upper": ("Uppercase", "Yes"), "digit": ("General_Category", "Decimal_Number"), "dash": ("Dash", "Yes"), "hex": ("Hex_Digit", "Yes"), "quote": ("Quotation_Mark", "Yes")}
 
 
-def _fingerprints(spark: SparkSession, names) -> DataFrame:
+def composed_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters of pages in ((latin or greek) without upper) or (digit and hex) or dash, and in none of the sets."""
+    counts = corpus.codepoint_counts(_table(spark, sf_dir, "pages"), "html")
+    named = sets.named_sets(spark, SETS)
+    c = F.col
+    chosen = sets.compose(named, (c("latin") | c("greek")) & ~c("upper") | c("digit") & c("hex") | c("dash"), list(SETS))
+    none = sets.complement(named, list(SETS))
+    both = [sets.members(counts, "cp", r).select(F.lit(n).alias("part"), F.col("cp").cast("long").alias("cp"), "n") for n, r in (("chosen", chosen), ("none", none))]
+    return both[0].unionByName(both[1])
+
+
+def script_category_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = corpus.property_cube(_table(spark, sf_dir, "documents"), "text", ["Script", "General_Category"], "lang")
+    return out.select("lang", F.col("Script").alias("script"), F.col("General_Category").alias("category"), "n", "total")
+
+
+def script_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = corpus.property_cube(_table(spark, sf_dir, "documents"), "text", ["Script"], "lang", "source", rollup=True)
+    return out.select("lang", "source", F.col("Script").alias("script"), "n", "total")
+
+
+def script_run_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents arrive as a stream of chunks of 200 characters; the last update of each gives its verdict."""
     ship(spark)
-    names = spark.createDataFrame([(p,) for p in names], "property string").repartition(8)
+    kind = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    arriving = spark.readStream.schema(kind).parquet(f"{sf_dir}/documents.parquet*")
+    found = streaming.script_runs(long_text.pieces(arriving, "text", size=200).select(F.col("key").alias("doc_id"), "text"), "text")
+    out = new_path(spark, "stream")
+    updates = found.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", new_path(spark, "state"))
+    updates.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}")).start().awaitTermination()
+    log = spark.read.schema(found.schema.add("batch", "long")).parquet(out)
+    return log.groupBy("doc_id").agg(F.max_by("is_run", "batch").alias("is_run"))
 
-    def run(frames):
-        for pdf in frames:
-            found = [U.fingerprint(p) for p in pdf["property"]]
-            yield pd.DataFrame({"property": pdf["property"], "n_ranges": [n for n, _ in found], "fnv1a64": [h for _, h in found]})
 
-    return names.mapInPandas(run, "property string, n_ranges long, fnv1a64 string")
+def long_text_nfc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fifty documents make one long text, which comes in pieces of 700 characters and is normalised piece by piece."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") / 50).cast("long").alias("book"), "text")
+    books = docs.groupBy("book").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", F.coalesce("text", F.lit("")).alias("text")))), lambda d: d["text"]), "").alias("text"))
+    whole = long_text.joined(long_text.normalize(long_text.pieces(books, "text", "book", 700), "NFC"))
+    return whole.select(F.col("key").alias("book"), F.char_length("text").cast("long").alias("n_codepoints"), F.md5("text").alias("nfc"))
 
 
-def script_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ucd.set_ranges(ucd.ucd_runs(spark, "Script"), "Greek").select(F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"))
+def long_text_graphemes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grapheme clusters of documents that come in pieces of 300 characters."""
+    parts = long_text.pieces(_table(spark, sf_dir, "documents"), "text", size=300)
+    return long_text.segment_count(parts, "grapheme").select(F.col("key").alias("doc_id"), F.col("n").alias("n_graphemes"))
 
 
-def _vector_query(kind: str):
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        ship(spark)
-        rows = [(i, op, arg, option) for i, op, arg, option, _ in vectors.rows(kind)]
-        df = spark.createDataFrame(rows, "id long, op string, arg string, option string")
-        f = F.pandas_udf(lambda a, b, c: pd.Series([vectors.answer(kind, x, y, z) for x, y, z in zip(a, b, c)]), "string")
-        return df.select("id", f("op", "arg", "option").alias("result"))
+def chunked_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as chunks of 997 bytes, which cut characters, decoded in order."""
+    chunks = long_text.byte_chunks(_table(spark, sf_dir, "documents"), F.col("text").cast("binary"), size=997)
+    return long_text.decode_chunks(chunks, "REFUSE").groupBy(F.col("key").alias("doc_id")).agg(F.sum(F.char_length("text")).alias("n_codepoints"), F.bool_and("ok").alias("ok"))
 
-    query.__name__ = f"vectors_{kind}"
-    return query
+
+def character_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The characters of documents with their names, and what is found by the name written loosely."""
+    named = names.with_names(corpus.codepoint_counts(_table(spark, sf_dir, "documents"), "text"))
+    found = names.find(named.withColumn("loose", F.lower(F.translate("name", " ", "_"))), "loose")
+    return found.select(F.col("cp").cast("long").alias("cp"), "name", "n", F.coalesce(F.col("found") == F.col("cp"), F.lit(False)).alias("found"))
 
 
 _QUERIES = (
     script_category_profile, utf8_lengths, non_ascii_documents, grapheme_counts, normal_forms, accents_stripped, case_mappings, caseless_turns, script_run_documents, top_characters, latin_letters,
-    benchmark_words, sentence_lengths, line_opportunities, bidi_paragraphs, property_fingerprints, line_break_fingerprint, script_ranges, *[_vector_query(k) for k in vectors.KINDS],
+    benchmark_words, document_words, sentence_lengths, line_opportunities, bidi_paragraphs, bidi_documents, property_usage, property_lookup, composed_sets, script_category_cube, script_rollup,
+    script_run_stream, long_text_nfc, long_text_graphemes, chunked_decoding, character_names,
 )
 
 
@@ -172,9 +227,6 @@ FINGERPRINTS = {
 }
 #: The one property that is known to differ in a few ranges.
 INEXACT = {"Line_Break": (3616, "40BB6EECF7886208")}
-# -- fixed values: the Greek script
-GREEK = "0370-0373 0375-0377 037A-037D 037F 0384 0386 0388-038A 038C 038E-03A1 03A3-03E1 03F0-03FF 1D26-1D2A 1D5D-1D61 1D66-1D6A 1DBF 1F00-1F15 1F18-1F1D 1F20-1F45 1F48-1F4D 1F50-1F57 1F59 1F5B 1F5D 1F5F-1F7D 1F80-1FB4 1FB6-1FC4 1FC6-1FD3 1FD6-1FDB 1FDD-1FEF 1FF2-1FF4 1FF6-1FFE 2126 AB65 10140-1018E 101A0 1D200-1D245"
-
 
 def _values(rows: list[tuple]) -> str:
     one = lambda v: "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
@@ -192,9 +244,16 @@ def _ranges(*props: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    chars = lambda table, text, keys: f"SELECT {keys}unicode(c) AS cp, count(*) AS n FROM (SELECT {keys}unnest(string_split({text}, '')) AS c FROM {table}) WHERE c <> '' GROUP BY ALL"
+    chars = lambda table, text, keys: f"SELECT {keys}ord(c) AS cp, count(*) AS n FROM (SELECT {keys}unnest(string_split({text}, '')) AS c FROM {table}) WHERE c <> '' GROUP BY ALL"
     dim = _ranges("Script", "General_Category")
-    greek = [(int(a, 16), int(b or a, 16)) for a, _, b in (p.partition("-") for p in GREEK.split())]
+    every = _values([(p, a, b, v) for p in ucd.PROPERTIES for a, b, v in U.runs(p) if a < 0x3000])
+    called = _values([(c, unicodedata.name(chr(c))) for c in range(0x500) if unicodedata.name(chr(c), "")])
+    inside = lambda *names_: "(" + " OR ".join(f"cp BETWEEN {a} AND {b}" for n in names_ for a, b in U.ranges(*SETS[n]) if a < 0x3000) + ")"
+    # a mark between two letters or two digits joins them
+    joined = "text"
+    for marks, side in ((":.\u00b7\u2018\u2019\u2024\'\'", r"\p{L}"), (",;.\u2018\u2019\u2024\'\'", r"\p{Nd}")) * 2:
+        joined = f"regexp_replace({joined}, '({side})[{marks}]({side})', '\\1x\\2', 'g')"
+    paragraph = r"[^\n\r\x{1c}-\x{1e}\x{85}\x{2029}]*(?:\r\n|[\n\r\x{1c}-\x{1e}\x{85}\x{2029}])|[^\n\r\x{1c}-\x{1e}\x{85}\x{2029}]+"
     out = {
         "script_category_profile": f"SELECT lang, d.script, d.category, CAST(sum(n) AS BIGINT) AS n FROM ({chars('documents', 'text', 'lang, ')}) x LEFT JOIN {dim} AS d(first, last, script, category) ON x.cp BETWEEN d.first AND d.last GROUP BY ALL",
         "utf8_lengths": "SELECT doc_id, length(text) AS n_codepoints, strlen(text) AS n_bytes, true AS valid FROM documents",
@@ -207,10 +266,17 @@ def oracle_sql() -> dict[str, str]:
         "script_run_documents": f"SELECT doc_id, count(DISTINCT CASE WHEN d.script NOT IN ('Common', 'Inherited') THEN d.script END) <= 1 AS is_run FROM ({chars('documents', 'text', 'doc_id, ')}) x JOIN {dim} AS d(first, last, script, category) ON x.cp BETWEEN d.first AND d.last GROUP BY doc_id",
         "top_characters": f"SELECT lang, CAST(cp AS BIGINT) AS cp, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, cp) AS rank FROM ({chars('documents', 'text', 'lang, ')})) WHERE rank <= 10",
         "latin_letters": f"SELECT CAST(cp AS BIGINT) AS cp, n FROM ({chars('pages', 'html', '')}) x JOIN {dim} AS d(first, last, script, category) ON x.cp BETWEEN d.first AND d.last WHERE d.category = 'Lowercase_Letter'",
-        "property_fingerprints": f"SELECT property, CAST(n AS BIGINT) AS n_ranges, h AS fnv1a64 FROM {_values([(p, n, h) for p, (n, h) in FINGERPRINTS.items()])} AS v(property, n, h)",
-        "line_break_fingerprint": f"SELECT property, CAST(n AS BIGINT) AS n_ranges, h AS fnv1a64 FROM {_values([(p, n, h) for p, (n, h) in INEXACT.items()])} AS v(property, n, h)",
-        "script_ranges": f"SELECT CAST(a AS BIGINT) AS first, CAST(b AS BIGINT) AS last FROM {_values(greek)} AS v(a, b)",
+        "document_words": rf"""SELECT doc_id, CAST(len(regexp_extract_all({joined}, '[\p{{L}}\p{{Nd}}_]*[\p{{L}}\p{{Nd}}][\p{{L}}\p{{Nd}}_]*')) AS BIGINT) AS n_words FROM documents WHERE regexp_matches(text, '[\p{{L}}\p{{Nd}}]')""",
+        "bidi_documents": rf"SELECT doc_id, n_paragraphs, CAST(0 AS BIGINT) AS level, CAST(0 AS BIGINT) AS highest, n_codepoints FROM (SELECT doc_id, CAST(len(regexp_extract_all(text, '{paragraph}')) AS BIGINT) AS n_paragraphs, CAST(length(text) AS BIGINT) AS n_codepoints FROM documents WHERE text <> '')",
+        "property_usage": f"SELECT p.property, p.value, CAST(sum(n) AS BIGINT) AS n FROM ({chars('documents', 'text', '')}) x JOIN {every} AS p(property, first, last, value) ON x.cp BETWEEN p.first AND p.last GROUP BY ALL",
+        "property_lookup": f"SELECT {', '.join('d.' + p.lower() for p in LOOKED_UP)}, CAST(sum(n) AS BIGINT) AS n FROM ({chars('pages', 'html', '')}) x JOIN {_ranges(*LOOKED_UP)} AS d(first, last, {', '.join(p.lower() for p in LOOKED_UP)}) ON x.cp BETWEEN d.first AND d.last GROUP BY ALL",
+        "composed_sets": f"SELECT CASE WHEN {inside('latin', 'greek')} AND NOT {inside('upper')} OR {inside('digit')} AND {inside('hex')} OR {inside('dash')} THEN 'chosen' ELSE 'none' END AS part, CAST(cp AS BIGINT) AS cp, n FROM ({chars('pages', 'html', '')}) x WHERE {inside('latin', 'greek')} AND NOT {inside('upper')} OR {inside('digit')} AND {inside('hex')} OR {inside('dash')} OR NOT {inside(*SETS)}",
+        "script_category_cube": f"SELECT lang, d.script, d.category, CAST(sum(n) AS BIGINT) AS n, CAST(grouping_id(lang, d.script, d.category) AS BIGINT) AS total FROM ({chars('documents', 'text', 'lang, ')}) x JOIN {dim} AS d(first, last, script, category) ON x.cp BETWEEN d.first AND d.last GROUP BY CUBE (lang, d.script, d.category)",
+        "script_rollup": f"SELECT lang, source, d.script, CAST(sum(n) AS BIGINT) AS n, CAST(grouping_id(lang, source, d.script) AS BIGINT) AS total FROM ({chars('documents', 'text', 'lang, source, ')}) x JOIN {dim} AS d(first, last, script, category) ON x.cp BETWEEN d.first AND d.last GROUP BY ROLLUP (lang, source, d.script)",
+        "long_text_nfc": "SELECT book, length(text) AS n_codepoints, md5(text) AS nfc FROM (SELECT CAST(doc_id // 50 AS BIGINT) AS book, nfc_normalize(string_agg(coalesce(text, ''), '' ORDER BY doc_id)) AS text FROM documents GROUP BY 1) WHERE text <> ''",
+        "long_text_graphemes": "SELECT doc_id, length_grapheme(text) AS n_graphemes FROM documents WHERE text <> ''",
+        "chunked_decoding": "SELECT doc_id, length(text) AS n_codepoints, true AS ok FROM documents WHERE text <> ''",
+        "character_names": f"SELECT CAST(x.cp AS BIGINT) AS cp, v.name, n, v.cp IS NOT NULL AS found FROM ({chars('documents', 'text', '')}) x LEFT JOIN {called} AS v(cp, name) ON x.cp = v.cp",
     }
-    for kind in vectors.KINDS:
-        out[f"vectors_{kind}"] = f"SELECT CAST(id AS BIGINT) AS id, result FROM {_values([(r[0], r[4]) for r in vectors.rows(kind)])} AS v(id, result)"
+    out["script_run_stream"] = out["script_run_documents"]
     return out

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 #: Rows of an Arrow batch at most: texts are long, and a batch is held outside the heap.
@@ -30,3 +32,27 @@ def ship(spark: SparkSession) -> None:
                 z.write(f, f"{here.name}/{f.relative_to(here)}")
     context.addPyFile(str(target))
     context._glyphmill_shipped = True
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share. Only a session of one machine may leave it unset and gets a local one."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not re.fullmatch(r"local(\[[\d*, ]+\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+    return (found or f"file://{tempfile.gettempdir()}/checkpoints").rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, where its lineage ends; its files go when the application ends."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that is deleted when the application ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path

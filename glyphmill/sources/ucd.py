@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from ..ucd import properties as U
 
 
@@ -24,6 +26,23 @@ def ucd_records(spark: SparkSession, props: list[str]) -> DataFrame:
     return spark.createDataFrame(rows, "first int, last int, " + ", ".join(f"`{p}` string" for p in props))
 
 
+#: Every property that has runs.
+PROPERTIES = [*U.ENUMERATED, *U.BINARY, "Canonical_Combining_Class", "Script_Extensions"]
+
+
+def all_runs(spark: SparkSession) -> DataFrame:
+    """property, first, last, value of every property, computed on the executors."""
+    ship(spark)
+
+    def runs(batches):
+        for b in batches:
+            for p in b.column(0).to_pylist():
+                first, last, value = zip(*U.runs(p))
+                yield pa.RecordBatch.from_arrays([pa.array([p] * len(first)), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(value)], names=["property", "first", "last", "value"])
+
+    return spark.createDataFrame([(p,) for p in PROPERTIES], "property string").repartition(8).mapInArrow(runs, "property string, first int, last int, value string")
+
+
 def by_block(ranges: DataFrame) -> DataFrame:
     """ranges (first, last, ...) with a row for each block of 256 codepoints they touch, so that a lookup is an equality join on `block`."""
     return ranges.withColumn("block", F.explode(F.sequence(F.shiftright("first", 8), F.shiftright("last", 8))))

@@ -1,4 +1,4 @@
-"""The Unicode Character Database, version 17.0, as runs and point lookups.
+"""The character database, version 17.0, as runs and point lookups.
 
 No data file is shipped: property values come from the installed `regex` module, whose data
 are newer than 17.0; every codepoint that 17.0 had not assigned is set back to the property's

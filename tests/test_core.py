@@ -25,6 +25,19 @@ def test_property_fingerprints(prop):
     assert U.fingerprint(prop) == queries.FINGERPRINTS[prop]
 
 
+@pytest.mark.xfail(reason="Line_Break is not exact")
+def test_line_break_fingerprint():
+    assert U.fingerprint("Line_Break") == queries.INEXACT["Line_Break"]
+
+
+def test_greek_ranges():
+    assert U.ranges("Script", "Greek") == [(int(a, 16), int(b or a, 16)) for a, _, b in (p.partition("-") for p in GREEK.split())]
+
+
+# -- fixed values: the Greek script
+GREEK = "0370-0373 0375-0377 037A-037D 037F 0384 0386 0388-038A 038C 038E-03A1 03A3-03E1 03F0-03FF 1D26-1D2A 1D5D-1D61 1D66-1D6A 1DBF 1F00-1F15 1F18-1F1D 1F20-1F45 1F48-1F4D 1F50-1F57 1F59 1F5B 1F5D 1F5F-1F7D 1F80-1FB4 1FB6-1FC4 1FC6-1FD3 1FD6-1FDB 1FDD-1FEF 1FF2-1FF4 1FF6-1FFE 2126 AB65 10140-1018E 101A0 1D200-1D245"
+
+
 @settings(max_examples=150, deadline=None)
 @given(TEXT)
 def test_normal_forms(text):

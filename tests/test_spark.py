@@ -20,7 +20,7 @@ def rows(df):
     return sorted(map(str, df.astype(object).where(df.notnull(), None).itertuples(index=False, name=None)))
 
 
-@pytest.mark.parametrize("name", [pytest.param(n, marks=[pytest.mark.xfail(reason="Line_Break is not exact")] if n == "line_break_fingerprint" else []) for n in sorted(core.oracle_sql())])
+@pytest.mark.parametrize("name", sorted(core.oracle_sql()))
 def test_against_duckdb(spark, name):
     con = duckdb.connect()
     for t in TABLES:
@@ -58,9 +58,54 @@ def test_sql_functions_with_options(spark):
     assert sorted(tuple(r) for r in rows_) == [("x", 0, 0, "One. "), ("x", 1, 5, "Two")]
 
 
-def test_limits(monkeypatch):
-    monkeypatch.setitem(T.LIMITS, "max_text_bytes", 4)
-    assert [T._checked(x) for x in ("abcd", "abcde", "éé", "ééa", b"ab", b"abcde", b"\xff")] == ["abcd", None, "éé", None, "ab", None, None]
+def test_limits(spark):
+    """A fault is null, an error, or a result code; without a limit only ill-formed bytes are one."""
+    some = ["abcd", "abcde", "éé", "ééa", b"ab", b"abcde", b"\xff"]
+    assert [T._checked(x, 4) for x in some] == ["abcd", None, "éé", None, "ab", None, None]
+    assert [T._result(x, 4) for x in some] == [0, 3, 0, 3, 0, 3, 2]
+    assert [T._checked(x, None) for x in some] == ["abcd", "abcde", "éé", "ééa", "ab", "abcde", None]
+    df = spark.createDataFrame([(1, b"abc"), (2, b"abcdef"), (3, b"\xff"), (4, None)], "id int, t binary")
+    got = df.select("id", T.text_result("t", 4).alias("r"), T.text_result("t", None).alias("free"), T.call("u_upper", "t", limit=4).alias("up"), T.call("u_upper", "t", limit=None).alias("whole")).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 0, 0, "ABC", "ABC"), (2, 3, 0, None, "ABCDEF"), (3, 2, 2, None, None), (4, None, None, None, None)]
+    for bad in (2, 3):
+        with pytest.raises(Exception, match="limit reached|ill-formed"):
+            df.filter(F.col("id") == bad).select(T.call("u_upper", "t", limit=4, fault="error")).collect()
+    T.register(spark, limit=4)
+    assert [tuple(r) for r in spark.sql("SELECT u_result('abcde'), u_upper('abcde'), u_result(x'FF'), u_upper('abcd'), u_result(NULL)").collect()] == [(3, None, 2, "ABCD", None)]
+    T.register(spark)
+
+
+def test_iteration_over_bytes(spark):
+    T.register(spark)
+    got = spark.sql("SELECT s.* FROM VALUES (x'41C3A9FF42') AS v(d), LATERAL u_codepoint_rows(d, 'REPLACE') AS s").collect()
+    assert sorted(tuple(r) for r in got) == [(0, 0, 0x41, True), (1, 1, 0xE9, True), (2, 3, 0xFFFD, False), (3, 4, 0x42, True)]
+    got = spark.sql("SELECT s.* FROM VALUES (x'41C3A9FF42') AS v(d), LATERAL u_codepoint_rows(d, 'REFUSE') AS s").collect()
+    assert sorted(tuple(r) for r in got)[2:] == [(2, 3, None, False)]
+    data = "aé日👍".encode() + b"\xff\xe6\x97" + b"\x80\x80\x80\x80\x80"
+    df = spark.createDataFrame([(data, i) for i in range(len(data) + 2)], "d binary, at int")
+    from glyphmill.text import utf
+
+    assert [r.p for r in df.select(T.utf8_prev("d", "at").alias("p")).collect()] == [None, *[utf.prev(data, i) for i in range(1, len(data) + 1)], None]
+
+
+def test_functions_at_positions(spark):
+    df = spark.createDataFrame([("straße ΟΣ. i\u0307", i) for i in range(11)], "t string, at int")
+    T.register(spark)
+    from glyphmill.text import case, segment
+
+    for f, g in (("upper", case.upper_at), ("lower", case.lower_at), ("title", case.title_at)):
+        got = [r[0] for r in df.selectExpr(f"u_{f}_at(t, at, 'NONE') AS x").collect()]
+        assert got == [g("straße ΟΣ. i\u0307", i, "NONE") for i in range(11)]
+    for kind in segment.KINDS:
+        got = [r[0] for r in df.select(F.expr(f"u_break_at(t, '{kind}', at)")).collect()]
+        assert got == [i in segment.boundaries("straße ΟΣ. i\u0307", kind) for i in range(11)]
+
+
+def test_versions_and_results(spark):
+    got = spark.range(1).select(T.result_string(F.lit(2)).alias("a"), T.version().alias("b"), T.version_number().alias("c"), T.ucd_version().alias("d"), T.ucd_version_number().alias("e"), T.gc_mask_contains(F.lit(1), 2).alias("f"), T.gc_mask_contains(F.lit(0), 2).alias("g")).first()
+    assert got.a == "ill-formed text" and got.d == "17.0.0" and got.e == 17 << 16 and (got.f, got.g) == (True, False)
+    a, b, c = map(int, got.b.split("."))
+    assert got.c == a << 16 | b << 8 | c
 
 
 def test_expressions(spark):
