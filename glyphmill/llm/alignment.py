@@ -22,6 +22,8 @@ like others; other columns are ignored, whatever their names; an empty table giv
 
 from __future__ import annotations
 
+import functools
+import gc
 import hashlib
 import heapq
 import itertools
@@ -68,21 +70,21 @@ class Words:
     def __init__(self, split: re.Pattern, encode, table: list[bytes]):
         self.split, self.encode, self.table, self.known = split, encode, table, {}
 
-    def __call__(self, texts: list[str]) -> list[list[int] | None]:
+    def __call__(self, texts: list[str]) -> list[np.ndarray | None]:
         """The ids of each text, or None where their bytes differ from the text's."""
-        words = [self.split.findall(t) for t in texts]
-        new = sorted(set(itertools.chain.from_iterable(words)).difference(self.known))
-        if len(self.known) + len(new) > REMEMBERED and self.known:
+        if len(self.known) > REMEMBERED:
             self.known.clear()
-            new = sorted(set(itertools.chain.from_iterable(words)))
+        words = [self.split.findall(t) for t in texts]
+        found = [list(map(self.known.get, ws)) for ws in words]
+        gaps = [[i for i, ids in enumerate(row) if ids is None] for row in found]
+        new = sorted({ws[i] for ws, gap in zip(words, gaps) for i in gap})
         for w, ids in zip(new, self.encode(new)):
-            self.known[w] = ids if b"".join(map(self.table.__getitem__, ids)) == w.encode() else None
-        out: list[list[int] | None] = []
-        for ws in words:
-            try:
-                out.append(list(itertools.chain.from_iterable(map(self.known.__getitem__, ws))))
-            except TypeError:  # a word without ids
-                out.append(None)
+            self.known[w] = tuple(ids) if b"".join(map(self.table.__getitem__, ids)) == w.encode() else ()  # no ids: bytes differ
+        out: list[np.ndarray | None] = []
+        for ws, row, gap in zip(words, found, gaps):
+            for i in gap:
+                row[i] = self.known[ws[i]]
+            out.append(None if () in row else np.fromiter(itertools.chain.from_iterable(row), np.int64))
         return out
 
 
@@ -106,15 +108,15 @@ class First:
     def _encoded(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def __call__(self, texts: list[str]) -> list[list[int] | None]:
+    def __call__(self, texts: list[str]) -> list[np.ndarray | None]:
         """The ids of a space and each text."""
         plain = [i for i, t in enumerate(texts) if t.isascii() or max(t) < chr(LATIN)]
-        out: list[list[int] | None] = [None] * len(texts)
+        out: list[np.ndarray | None] = [None] * len(texts)
         for i, ids in zip(plain, self.words([f" {texts[i]}" for i in plain])):
             out[i] = ids
         for i in sorted(set(range(len(texts))).difference(plain)):
             ids = self._encoded([f" {texts[i]}"])[0]
-            out[i] = ids if b"".join(map(self.table.__getitem__, ids)) == f" {texts[i]}".encode() else None
+            out[i] = np.array(ids, np.int64) if b"".join(map(self.table.__getitem__, ids)) == f" {texts[i]}".encode() else None
         return out
 
 
@@ -135,11 +137,11 @@ class Second:
     def _encoded(self, words: list[str]) -> list[list[int]]:
         return [[self.alone] if w == " " else ids for w, ids in zip(words, self.whole.encode([w[1:] for w in words], num_threads=1))]
 
-    def __call__(self, texts: list[str]) -> list[list[int] | None]:
+    def __call__(self, texts: list[str]) -> list[np.ndarray | None]:
         if self.words:
             return self.words([f" {t}" for t in texts])
         ids = self.whole.encode(texts, num_threads=1)
-        return [x if b"".join(map(self.table.__getitem__, x)) == f" {t}".encode() else None for x, t in zip(ids, texts)]
+        return [np.array(x, np.int64) if b"".join(map(self.table.__getitem__, x)) == f" {t}".encode() else None for x, t in zip(ids, texts)]
 
 
 _LOADED: dict[tuple[str, str], tuple] = {}
@@ -149,15 +151,18 @@ def _loaded(first: str, second: str) -> tuple:
     """Both encoders, and the bytes of each id, once for each worker."""
     if (first, second) not in _LOADED:
         a, b = First(first), Second(second)
-        _LOADED[first, second] = a, b, np.array([len(x) for x in a.table]), np.array([len(x) for x in b.table]), list(map(str, range(max(len(a.table), len(b.table)))))
+        _LOADED[first, second] = a, b, np.array([len(x) for x in a.table]), np.array([len(x) for x in b.table])
     return _LOADED[first, second]
 
 
-def encoded(texts: list[str | None], first: str = FIRST, second: str = SECOND) -> list[tuple[list[int], list[int]]]:
+_NONE = np.zeros(0, np.int64)
+
+
+def encoded(texts: list[str | None], first: str = FIRST, second: str = SECOND) -> list[tuple[np.ndarray, np.ndarray]]:
     """The ids of both for each text; none where a text is null or empty, or tokens do not give its bytes."""
     a, b, *_ = _loaded(first, second)
     some = [i for i, t in enumerate(texts) if t and MARK not in t]
-    out: list[tuple[list[int], list[int]]] = [([], [])] * len(texts)
+    out = [(_NONE, _NONE)] * len(texts)
     chosen = [texts[i] for i in some]
     for i, x, y in zip(some, a(chosen), b(chosen)):
         if x is not None and y is not None:
@@ -172,12 +177,25 @@ def _met(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.flatnonzero(same), at[same]
 
 
-def _groups(x: list[int], y: list[int], i: np.ndarray, j: np.ndarray, text: list[str]):
-    """The groups between offsets where both end, as text."""
-    sx, sy, p, q = [text[k] for k in x], [text[k] for k in y], 0, 0
-    for u, v in zip((i + 1).tolist(), (j + 1).tolist()):
-        yield f"{sx[p]}|{sy[q]}" if u - p == v - q == 1 else f"{','.join(sx[p:u])}|{','.join(sy[q:v])}"
-        p, q = u, v
+@functools.cache
+def _written_ids(n: int) -> list[str]:
+    """Each id below n before a comma, then each before a bar, then each before a semicolon."""
+    return [f"{i}{mark}" for mark in ",|;" for i in range(n)]
+
+
+def groups_text(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> str:
+    """a1,a2|b1;a3|b2,b3: the groups between offsets where both end; i and j are the places of the tokens that end there."""
+    n = 1 << max(int(x.max(initial=0)), int(y.max(initial=0))).bit_length()
+    wide_x, wide_y = np.diff(i, prepend=-1), np.diff(j, prepend=-1)
+    codes = np.empty(len(x) + len(y), np.int64)
+    # a token comes after all of the groups before, and a second one after the first ones of its group too
+    marked = x.copy()
+    marked[i] += n
+    codes[np.arange(len(x)) + np.repeat(j - wide_y + 1, wide_x)] = marked
+    marked = y.copy()
+    marked[j] += 2 * n
+    codes[np.arange(len(y)) + np.repeat(i + 1, wide_y)] = marked
+    return "".join(map(_written_ids(n).__getitem__, codes.tolist()))[:-1]
 
 
 def token_groups(docs: DataFrame, first: str = FIRST, second: str = SECOND, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -185,11 +203,11 @@ def token_groups(docs: DataFrame, first: str = FIRST, second: str = SECOND, doc_
 
     def made(batches):
         for batch in slices(batches, 200):
-            _, _, la, lb, _ = _loaded(first, second)
+            _, _, la, lb = _loaded(first, second)
             groups = []
             for x, y in encoded(batch.column(1).to_pylist(), first, second):
-                i, j = _met(np.cumsum(la[x]), np.cumsum(lb[y])) if x else (np.zeros(0, int),) * 2
-                groups.append([{"a": x[p:u], "b": y[q:v]} for p, u, q, v in zip([0, *(i + 1)], i + 1, [0, *(j + 1)], j + 1)])
+                i, j = _met(np.cumsum(la[x]), np.cumsum(lb[y])) if len(x) else (_NONE, _NONE)
+                groups.append([{"a": x[p:u].tolist(), "b": y[q:v].tolist()} for p, u, q, v in zip([0, *(i + 1)], i + 1, [0, *(j + 1)], j + 1)])
             ids = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(groups, pa.list_(pa.struct([("a", ids), ("b", ids)])))], names=["doc_id", "groups"])
 
@@ -240,7 +258,8 @@ def _written(docs: DataFrame, first: str, second: str, radix: int, span: int) ->
     """A row for each document (radix null), and for each run (doc counts null; uid of its first document)."""
 
     def made(batches):
-        a, b, la, lb, names = _loaded(first, second)
+        _, _, la, lb = _loaded(first, second)
+        gc.disable()  # nothing here is cyclic, and the collector would walk the remembered words again and again
         part, n = TaskContext.get().partitionId(), 0
         for batch in slices(batches):
             rows, pairs, owners, begun, records = [], [], [], n, 0
@@ -252,11 +271,10 @@ def _written(docs: DataFrame, first: str, second: str, radix: int, span: int) ->
 
             texts = batch.column(1).to_pylist()
             for d, x, y in ((d, *xy) for lo in range(0, len(texts), 200) for d, xy in enumerate(encoded(texts[lo : lo + 200], first, second), lo)):
-                ia, ib = np.array(x, np.int64), np.array(y, np.int64)
-                i, j = _met(np.cumsum(la[ia]), np.cumsum(lb[ib]))
-                digest = hashlib.sha256(";".join(_groups(x, y, i, j, names)).encode()).hexdigest() if x else ""
+                i, j = _met(np.cumsum(la[x]), np.cumsum(lb[y]))
+                digest = hashlib.sha256(groups_text(x, y, i, j).encode()).hexdigest() if len(x) else ""
                 rows.append((part << 40 | n, batch.column(0)[d].as_py(), len(x), len(y), len(i), len(i), digest))
-                pairs.append(ib[j] * WIDE + ia[i])
+                pairs.append(y[j] * WIDE + x[i])
                 owners.append(np.full(len(i), n - begun))
                 records, n = records + len(i), n + 1
                 if records > RECORDS:
