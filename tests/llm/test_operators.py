@@ -433,6 +433,86 @@ def test_line_recall(spark):
     assert len(set(group.values())) == len(each) // 2  # and no others
 
 
+def changed(rng, line, n):
+    """The line with n of its letters changed."""
+    at = rng.sample([i for i, c in enumerate(line) if c != " "], n)
+    return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") if i in at else c for i, c in enumerate(line))
+
+
+def pairs_apart(spark, pairs, others=()):
+    """How many of the pairs of lines do not end in one group, with other lines in the table."""
+    each = [x for p in pairs for x in p] + list(others)
+    found, label = lines.line_groups(spark.createDataFrame([(i, i, x) for i, x in enumerate(each)], "doc_id long, rid long, text string"))
+    label = {r.node: r.label for r in label.collect()}
+    group = {r.doc_id: label.get(r.h, r.h) for r in found.collect()}
+    return sum(group[2 * i] != group[2 * i + 1] for i in range(len(pairs))), len({group[2 * i] for i in range(len(pairs))})
+
+
+@pytest.mark.parametrize("size", [25, 45])
+def test_pairs_in_a_crowd(spark, size):
+    """Lines that begin with the same five long words: pairs with one letter changed in a tenth of the words are found as well as alone."""
+    rng = random.Random(size)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randint(3, 8)))
+    shared = ["reproduction", "prohibited", "distribution", "permission", "documentation"]
+    line = lambda: [*shared, *[word() for _ in range(size - 5)]]
+    pairs = []
+    for _ in range(40):
+        a = line()
+        b = list(a)
+        for i in rng.sample(range(5, size), size // 10):
+            b[i] = "z" + b[i][1:]
+        pairs.append((" ".join(a), " ".join(b)))
+    assert pairs_apart(spark, pairs, [" ".join(line()) for _ in range(400)]) == (0, 40)
+
+
+def test_families_in_a_crowd(spark):
+    """Families of more lines than a key compares, all with one beginning: each is one group, and no two are."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randint(3, 8)))
+    shared = "all rights reserved under the terms of the licence that comes with this copy "
+    families = [[shared + " ".join(word() for _ in range(30))] * 2 for _ in range(12)]
+    pairs = [(f[0], changed(rng, f[0], 3)) for f in families for _ in range(30)]
+    each = [x for p in pairs for x in p]
+    found, label = lines.line_groups(spark.createDataFrame([(i, i, x) for i, x in enumerate(each)], "doc_id long, rid long, text string"))
+    label = {r.node: r.label for r in label.collect()}
+    group = {r.doc_id: label.get(r.h, r.h) for r in found.collect()}
+    assert [len({group[i] for i in range(60 * k, 60 * k + 60)}) for k in range(12)] == [1] * 12 and len(set(group.values())) == 12
+
+
+def test_line_recall_with_letters_changed_all_over(spark):
+    """By length: of pairs with a twentieth or a tenth of the letters changed at least nine in ten end in one group."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("etaoinshrdlucmfwypvbgk") for _ in range(rng.randint(2, 9)))
+    kinds = [(size, part) for size in (9, 13, 20, 35, 60, 120) for part in (20, 10)]
+    pairs = [(a, changed(rng, a, len(a) // part), (size, part)) for size, part in kinds for a in (" ".join(word() for _ in range(size)) for _ in range(60))]
+    each = [x for a, b, _ in pairs for x in (a, b)]
+    found, label = lines.line_groups(spark.createDataFrame([(i, i, x) for i, x in enumerate(each)], "doc_id long, rid long, text string"))
+    label = {r.node: r.label for r in label.collect()}
+    group = {r.doc_id: label.get(r.h, r.h) for r in found.collect()}
+    lost = collections.Counter(kind for i, (_, _, kind) in enumerate(pairs) if group[2 * i] != group[2 * i + 1])
+    assert all(lost[kind] <= 6 for kind in kinds), lost
+    assert sum(lost.values()) <= 0.04 * len(pairs), lost
+
+
+def test_letter_counts_never_drop_similar_lines(spark):
+    rng = random.Random(5)
+    pairs = []
+    for _ in range(300):
+        a = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz  é漢") for _ in range(rng.randint(1, 60))) * rng.choice([1, 1, 30])
+        b = list(a)
+        for _ in range(rng.randint(0, 9)):
+            k, i = rng.randrange(3), rng.randrange(len(b) + 1)
+            if k == 0:
+                b.insert(i, rng.choice("abez é"))
+            elif i < len(b):
+                b[i : i + 1] = [] if k == 1 else [rng.choice("qxe ")]
+        pairs.append((a, "".join(b)))
+    df = spark.createDataFrame(pairs, "a string, b string")
+    bags = lambda c: [lines._bag(F.col(c), lines._LETTERS[:8]), lines._bag(F.col(c), lines._LETTERS[8:])]
+    assert df.filter(~lines._bags_fit(bags("a"), bags("b"), F.levenshtein("a", "b"))).count() == 0
+    assert df.filter(lines._bags_fit(bags("a"), bags("b"), F.lit(0))).count() < 100
+
+
 def test_line_repeats_and_length(spark, monkeypatch):
     """Votes are of distinct rows only; lines longer than every class of length link too."""
     a = " ".join(f"word{i}" for i in range(100))
