@@ -60,7 +60,8 @@ AGAINST = {
 FOR = ("article", "content", "post", "entry", "story", "body", "text", "main", "prose")
 _WORD_OF = {w: k for k, ws in AGAINST.items() for w in ws} | {w: "for" for w in FOR}
 
-FEATURES = ["bias", *sorted(set(KINDS.values()) | {"other"}), *AGAINST, "for", "short", "long", "linked", "hidden", "stop"]
+#: A list word may be a whole class or id, or a part of a longer one ("market-share"), which says less.
+FEATURES = ["bias", *sorted(set(KINDS.values()) | {"other"}), *AGAINST, "for", *(f"{k}-" for k in (*AGAINST, "for")), "short", "long", "linked", "hidden", "stop", "most", "rich", "replies"]
 _F = {n: i for i, n in enumerate(FEATURES)}
 KIND_NAMES = sorted(set(KINDS.values()) | {"other"})
 _K = {n: i for i, n in enumerate(KIND_NAMES)}
@@ -68,6 +69,8 @@ _K = {n: i for i, n in enumerate(KIND_NAMES)}
 _TAG = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.S)
 _SPLIT = re.compile(r"[^a-z]+")
+#: What stands above the comments of readers.
+_REPLIES = re.compile(r"\W*(\d+\s+)?(reader\s+|user\s+)?(comments?|repl(y|ies)|responses?)(\s*\(?\d+\)?)?\W*", re.I)
 _STOP = frozenset(".!?:;…")
 _SPACE = re.compile(r"\s+")
 
@@ -197,38 +200,60 @@ class Tree:
 _SEEN: dict[tuple, tuple[tuple[int, ...], int]] = {}
 
 
-def _traits(tag: str, attrs: str, short: bool, long: bool, linked: bool, stop: bool) -> tuple[tuple[int, ...], int]:
-    """The features that hold for such a node, by number, and its kind."""
+def _traits(tag: str, attrs: str, *on: bool) -> tuple[tuple[int, ...], int]:
+    """The features that hold for such a node, by number, and its kind; on: those of _MEASURED."""
     kind = KINDS.get(tag, "other")
     found = {0, _F[kind]}
     for name, a, b, c in _ATTR.findall(attrs):
         name = name.lower()
         if name in ("class", "id", "role", "itemprop"):
-            found.update(_F[_WORD_OF[w]] for w in _SPLIT.split((a or b or c).lower()) if w in _WORD_OF)
+            for one in (a or b or c).lower().split():
+                whole = one in _WORD_OF
+                found.update(_F[_WORD_OF[w] if whole else f"{_WORD_OF[w]}-"] for w in ((one,) if whole else _SPLIT.split(one)) if w in _WORD_OF)
         elif name in ("hidden", "aria-hidden") or name == "style" and "none" in (a or b or c):
             found.add(_F["hidden"])
-    found.update(_F[n] for n, on in (("short", short), ("long", long), ("linked", linked), ("stop", stop)) if on)
+    found.update(_F[n] for n, is_ in zip(_MEASURED, on) if is_)
     return tuple(sorted(found)), _K[kind]
 
 
+_MEASURED = ("short", "long", "linked", "stop", "most", "rich", "replies")
+
+
 def evidence(tree: Tree) -> tuple[list[tuple[int, ...]], list[int]]:
     """The features that hold for each node, and its kind."""
     parent, tags, attrs, texts = tree.parent, tree.tag, tree.attrs, tree.text
     n = len(parent)
-    total, linked = [0] * n, [0] * n
+    total, linked, longs, first = [0] * n, [0] * n, [0] * n, [n] * n
     for i in range(n - 1, 0, -1):
+        p = parent[i]
         if tags[i] == "#":
             total[i] = len(texts[i]) if texts[i] != " " else 0
+            longs[i] = total[i] > 80
+            first[i] = i if total[i] else n
         elif tags[i] == "a":
-            linked[i] = total[i]
-        total[parent[i]] += total[i]
-        linked[parent[i]] += linked[i]
+            linked[i], longs[i] = total[i], 0
+        total[p] += total[i]
+        linked[p] += linked[i]
+        longs[p] += longs[i]
+        if first[i] < first[p]:
+            first[p] = first[i]
+    # what begins with a heading over the comments of readers, as far as it is no main element
+    replies = set()
+    for i in range(1, n):
+        if tags[i] == "#" and total[i] < 40 and _REPLIES.fullmatch(texts[i]):
+            j = i
+            for _ in range(3):
+                j = parent[j]
+                if j <= 0 or first[j] != i or KINDS.get(tags[j]) in ("main", "body"):
+                    break
+                replies.add(j)
     held, kind = [], []
     if len(_SEEN) > 50_000:
         _SEEN.clear()
     for i in range(n):
         size = total[i]
-        key = (tags[i], attrs[i], size < 25, size > 120, linked[i] > 0.5 * size, texts[i].rstrip()[-1:] in _STOP)
+        text = tags[i] == "#"
+        key = (tags[i], attrs[i], size < 25, size > 120, linked[i] > 0.5 * size, texts[i].rstrip()[-1:] in _STOP, not text and size > 0.6 * total[0], not text and longs[i] > 1, i in replies)
         one = _SEEN.get(key)
         if one is None:
             one = _traits(*key)
@@ -305,7 +330,18 @@ def labelled_pages(n: int = 400) -> list[str]:
     c = lambda s: f"<x-c>{s}</x-c>"
     plain = lambda: pick(("", "", " class=x", ' class="col-8"', " id=page", ' class="wrapper"', " class=inner"))
 
+    # class words that speak against content, on content: as a part of a longer name, seldom whole
+    topic = lambda: pick(("market", "data", "time", "author", "page", "long", "group", "law", "x"))
+    against = lambda: pick([w for k in AGAINST for w in AGAINST[k] if k != "notice" or maybe(0.3)])
+    odd = lambda: pick((f"{topic()}-{against()}", f"{against()}-{topic()}", f"{topic()}-on-the-{against()}", f"has-{against()}"))
+    heading = lambda: pick(("3 Comments", "Comments", "12 comments", "Comments (4)", "Replies", "2 responses", "1 reply"))
+
     def block() -> str:
+        if maybe(0.06):
+            tag = pick(("section", "div"))
+            return c(f'<{tag} class="{odd() if maybe(0.8) else pick(("discussion", "meta", "share", "tags", "legal"))}"><h2>{pick(_TEXTS)[:30]}</h2><p>{para()}</p><p>{para()}</p></{tag}>')
+        if maybe(0.03):
+            return "<template><p>" + pick(_TEXTS) + "</p></template>"
         kind = rng.random()
         if kind < 0.48:
             return c(f"<p>{para()}</p>" if maybe(0.6) else f"<p><b>{para()}<br>" if maybe(0.3) else f"<div{plain()}>{para()}</div>" if maybe(0.4) else f"<p>{para()} <a href='/x'>{pick(_SHORT)}</a> {pick(_TEXTS)}</p>")
@@ -338,11 +374,16 @@ def labelled_pages(n: int = 400) -> list[str]:
         title = c(f"{pick(('<h1>', '<h1 class=\"title\">'))}{pick(_TEXTS)[:60]}</h1>") if maybe(0.7) else ""
         body = title + (c(pick((f"<p>{para()}</p>", f"<p><b>{para()}<br>", f"<p><b>{para()}</b> {para()}", f"{para()}<br><i>{para()}</i>"))) if maybe(0.3) else "".join(block() for _ in range(int(rng.integers(0, 9)))))
         body = body or c(f"<p>{para()}</p>")
+        if maybe(0.06):  # little text, with an advert or a template beside it
+            few = c(f"<p>{pick(_TEXTS)}</p>")
+            body = pick((f'<div class="{pick(("ad", "advert", "ads"))}">{pick(_SHORT)} {pick(_TEXTS)}</div>{few}', f"{few}<template><p>{pick(_SHORT)}</p></template>{c(f'<p>{pick(_TEXTS)}</p>')}"))
         wrap = rng.random()
         frame = (
             f"<article>{body}</article>" if wrap < 0.4 else f"<main>{body}</main>" if wrap < 0.52 else f'<div class="{pick(("content", "post-body", "entry-content", "article-text", "site-content", "main-column"))}">{body}</div>' if wrap < 0.7
             else f'<main><article class="post">{body}</article></main>' if wrap < 0.8 else f"<section{plain()}>{body}</section>" if wrap < 0.88 else f"<div{plain()}>{body}</div>"
         )
+        if maybe(0.1):
+            frame = pick((f'<article id="{odd()}">{body}</article>', f'<div class="{odd()}">{body}</div>', f'<section class="{odd()}">{body}</section>', f'<main class="{odd()}">{body}</main>'))
         if maybe(0.15):
             frame = f"<div{plain()}>{frame}</div>"
         if maybe(0.12):  # a fragment without anything around it
@@ -353,15 +394,19 @@ def labelled_pages(n: int = 400) -> list[str]:
         out += f"<header><h1>{pick(_SHORT)}</h1><p>{para()}</p></header>" if maybe(0.35) else f'<div id="header">{pick(_TEXTS)}</div>' if maybe(0.15) else ""
         out += f'<div class="{pick(("ad", "ads", "banner", "cookie-notice", "cookie-banner", "alert", "consent", "popup"))}">{pick(("<p>%s</p>", "%s")) % para()}</div>' if maybe(0.6) else ""
         out += f'<div role="{pick(("alert", "banner"))}">{para()}</div>' if maybe(0.1) else ""
+        shell = pick((f'<div class="{odd()}">', f'<div id="{odd()}">', '<form id="aspnetForm" method=post>', "<form>")) if maybe(0.2) else ""
+        if shell:
+            at = out.index("<body>") + 6
+            out = out[:at] + shell + out[at:]
         out += frame
         out += f'<{pick(("aside", "div class=sidebar", "div id=sidebar", "section class=widget"))}><h3>{pick(_SHORT)}</h3>' + pick((f"<p>{para()}</p>", f"<ul>{links(4)}</ul>")) if maybe(0.5) else "<div class=x>" if maybe(0.2) else "<div>"
         out += "</aside></section></div>"
         if maybe(0.45):
             replies = [pick((f'<div class="comment"><p>{para()}</p></div>', f"<article><p>{para()}</p></article>", f'<li class="comment"><p>{para()}</p></li>', f"<p>{para()}</p>")) for _ in range(int(rng.integers(1, 4)))]
-            out += f'<{pick(("section", "div", "ol"))} {pick(("class=comments", "id=comments", "class=\"comment-list\"", "id=disqus_thread", "class=replies"))}><h3>{pick(_SHORT)}</h3>' + "".join(replies) + "</ol></section></div>"
+            out += f'<{pick(("section", "div", "ol"))} {pick(("class=comments", "id=comments", "class=\"comment-list\"", "id=disqus_thread", "class=replies", "id=c", "class=box", ""))}><h3>{heading()}</h3>' + "".join(replies) + "</ol></section></div>"
         out += f'<form class="{pick(("login", "search", "subscribe"))}"><p>{pick(_TEXTS)}</p><button>{pick(_SHORT)}</button></form>' if maybe(0.3) else ""
         out += pick((f"<footer>&copy; {pick(_SHORT)} &middot; {para()}</footer>", f"<footer><p>{para()}</p></footer>", f'<div class="footer"><p>{para()}</p></div>', f"<footer><ul>{links(3)}</ul><p>{pick(_SHORT)}</p></footer>", ""))
-        pages.append(out + "</body></html>")
+        pages.append(out + ("</form></div>" if shell else "") + "</body></html>")
     return pages
 
 

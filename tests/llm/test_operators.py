@@ -229,10 +229,25 @@ HELD_OUT = [
 ]
 
 
+NAV, FOOT = '<nav><ul><li><a href=/>Home</a><li><a href=/a>About us</a></ul></nav>', f"<footer><p>All rights reserved. {LONG}</p></footer>"
+#: Words of the lists on content, wrappers of the whole page, little text, comments without a telling class.
+HELD_OUT += [
+    (f'<html><body>{NAV}<article><h1>Title</h1><p>{LONG}</p><section class="market-share"><h2>Share</h2><p>{LONG}</p></section></article>{FOOT}</body></html>', ["Title", LONG, "Share", LONG]),
+    (f'<html><body>{NAV}<article><h1>Title</h1><p>{LONG}</p><section class="discussion"><h2>Discussion</h2><p>{LONG}</p><p>{LONG}</p></section></article>{FOOT}</body></html>', ["Title", LONG, "Discussion", LONG, LONG]),
+    (f'<html><body><div class="author-page">{NAV}<article><h1>Title</h1><p>{LONG}</p><p>{LONG}</p></article>{FOOT}</div></body></html>', ["Title", LONG, LONG]),
+    (f'<html><body><form id="aspnetForm" method="post">{NAV}<article><h1>Title</h1><p>{LONG}</p><p>{LONG}</p></article>{FOOT}</form></body></html>', ["Title", LONG, LONG]),
+    (f'<article id="comments-on-the-law"><h1>Title</h1><p>{LONG}</p><p>{LONG}</p></article>', ["Title", LONG, LONG]),
+    (f'<div class="meta-analysis"><p>{LONG}</p><p>{LONG}</p></div>', [LONG, LONG]),
+    (f'<main><div class="ad">Buy this now.</div><p>{LONG}</p></main>', [LONG]),
+    ("<article><p>A short one.</p><template><p>no</p></template><p>And another one.</p></article>", ["A short one.", "And another one."]),
+    (f'<html><body>{NAV}<article><h1>Title</h1><p>{LONG}</p></article><div id="c"><h3>3 Comments</h3><div><p>I do not agree with that at all, as you may know.</p></div><div><p>Nor do I.</p></div></div>{FOOT}</body></html>', ["Title", LONG]),
+]
+
+
 def test_html_held_out_layouts():
     w, e = html.model()
-    for page, want in HELD_OUT:
-        assert html.main_text(page, w, e) == "\n".join(want)
+    wrong = [(page, html.main_text(page, w, e)) for page, want in HELD_OUT if html.main_text(page, w, e) != "\n".join(want)]
+    assert not wrong
 
 
 @pytest.mark.parametrize("page", [
