@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shipping import ship
 from ..text import names
 from ..ucd import properties as U
 
@@ -22,15 +20,12 @@ def loose_key(name: Column) -> Column:
 
 
 def character_names(spark: SparkSession) -> DataFrame:
-    """cp, name, key of every codepoint that has a name; made on the executors, a row for each at most."""
-    ship(spark)
-
-    def named(batches):
-        for b in batches:
-            cps = b.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array(cps, pa.int32()), pa.array([names.name(c) for c in cps], pa.string())], names=["cp", "name"])
-
-    rows = spark.range(U.SIZE).mapInArrow(named, "cp int, name string").filter("name IS NOT NULL")
+    """cp, name, key of every codepoint that has a name, a row for each at most: names of version 16.0 from the JVM's library, and those that are a prefix and the codepoint."""
+    cp = F.col("id").cast("int")
+    name = F.nullif(F.java_method(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("getName"), cp), F.lit("null"))
+    for first, last, prefix in names.PREFIXES:
+        name = F.when(cp.between(first, last), F.concat(F.lit(prefix), F.hex("id"))).otherwise(name)
+    rows = spark.range(U.SIZE).select(cp.alias("cp"), name.alias("name")).filter("name IS NOT NULL AND name <> ''")
     return rows.select("cp", "name", loose_key(F.col("name")).alias("key"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import corpus, long_text, names, sets
 from ..shipping import new_path, ship
-from ..sources import ucd
+from ..sources import library, ucd
 from ..streaming import text as streaming
 from ..ucd import properties as U
 
@@ -120,6 +120,15 @@ def property_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("n", *[T.property_value("cp", p).alias(p.lower()) for p in LOOKED_UP]).groupBy(*[p.lower() for p in LOOKED_UP]).agg(F.sum("n").alias("n"))
 
 
+def block_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters of documents by block and vertical orientation, by range joins."""
+    counts = corpus.codepoint_counts(_table(spark, sf_dir, "documents"), "text", "lang")
+    for name, ranges in (("block", library.blocks(spark)), ("orientation", library.vertical_orientations(spark))):
+        by = F.broadcast(ucd.by_block(ranges).withColumnsRenamed({"first": "a", "last": "z", "block": "part", "value": name}))
+        counts = counts.join(by, (F.shiftright("cp", 8) == F.col("part")) & F.col("cp").between(F.col("a"), F.col("z"))).drop("a", "z", "part")
+    return counts.groupBy("lang", "block", "orientation").agg(F.sum("n").alias("n"))
+
+
 #: name: (property, value) of sets that are composed
 SETS = {"latin": ("Script", "Latin"), "greek": ("Script", "Greek"), "upper": ("Uppercase", "Yes"), "digit": ("General_Category", "Decimal_Number"), "dash": ("Dash", "Yes"), "hex": ("Hex_Digit", "Yes"), "quote": ("Quotation_Mark", "Yes")}
 
@@ -187,7 +196,7 @@ def character_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUERIES = (
     script_category_profile, utf8_lengths, non_ascii_documents, grapheme_counts, normal_forms, accents_stripped, case_mappings, caseless_turns, script_run_documents, top_characters, latin_letters,
-    benchmark_words, document_words, sentence_lengths, line_opportunities, bidi_paragraphs, bidi_documents, property_usage, property_lookup, composed_sets, script_category_cube, script_rollup,
+    benchmark_words, document_words, sentence_lengths, line_opportunities, bidi_paragraphs, bidi_documents, property_usage, property_lookup, block_profile, composed_sets, script_category_cube, script_rollup,
     script_run_stream, long_text_nfc, long_text_graphemes, chunked_decoding, character_names,
 )
 
@@ -225,6 +234,8 @@ FINGERPRINTS = {
     "Uppercase": (1321, "1BFA08E26C253A3D"), "Uppercase_Mapping": (2208, "9CC56523CB919282"), "Variation_Selector": (9, "8B13B546E53AD6C9"), "Word_Break": (1909, "A227C25318ACA32E"),
     "XID_Continue": (1613, "99E4E7D86FBE9F1A"), "XID_Start": (1383, "F2392966FCD2EB60"), "White_Space": (21, "7529672980AE7965"),
 }
+#: The first blocks.
+BLOCKS = [(0, 0x7F, "Basic_Latin"), (0x80, 0xFF, "Latin_1_Supplement"), (0x100, 0x17F, "Latin_Extended_A"), (0x180, 0x24F, "Latin_Extended_B")]
 #: The one property that is known to differ in a few ranges.
 INEXACT = {"Line_Break": (3616, "40BB6EECF7886208")}
 
@@ -270,6 +281,7 @@ def oracle_sql() -> dict[str, str]:
         "bidi_documents": rf"SELECT doc_id, n_paragraphs, CAST(0 AS BIGINT) AS level, CAST(0 AS BIGINT) AS highest, n_codepoints FROM (SELECT doc_id, CAST(len(regexp_extract_all(text, '{paragraph}')) AS BIGINT) AS n_paragraphs, CAST(length(text) AS BIGINT) AS n_codepoints FROM documents WHERE text <> '')",
         "property_usage": f"SELECT p.property, p.value, CAST(sum(n) AS BIGINT) AS n FROM ({chars('documents', 'text', '')}) x JOIN {every} AS p(property, first, last, value) ON x.cp BETWEEN p.first AND p.last GROUP BY ALL",
         "property_lookup": f"SELECT {', '.join('d.' + p.lower() for p in LOOKED_UP)}, CAST(sum(n) AS BIGINT) AS n FROM ({chars('pages', 'html', '')}) x JOIN {_ranges(*LOOKED_UP)} AS d(first, last, {', '.join(p.lower() for p in LOOKED_UP)}) ON x.cp BETWEEN d.first AND d.last GROUP BY ALL",
+        "block_profile": f"SELECT lang, block, CASE WHEN cp IN (167, 169, 174, 177, 188, 189, 190, 215, 247) THEN 'Upright' ELSE 'Rotated' END AS orientation, CAST(sum(n) AS BIGINT) AS n FROM ({chars('documents', 'text', 'lang, ')}) x JOIN {_values(BLOCKS)} AS b(first, last, block) ON x.cp BETWEEN b.first AND b.last GROUP BY ALL",
         "composed_sets": f"SELECT CASE WHEN {inside('latin', 'greek')} AND NOT {inside('upper')} OR {inside('digit')} AND {inside('hex')} OR {inside('dash')} THEN 'chosen' ELSE 'none' END AS part, CAST(cp AS BIGINT) AS cp, n FROM ({chars('pages', 'html', '')}) x WHERE {inside('latin', 'greek')} AND NOT {inside('upper')} OR {inside('digit')} AND {inside('hex')} OR {inside('dash')} OR NOT {inside(*SETS)}",
         "script_category_cube": f"SELECT lang, d.script, d.category, CAST(sum(n) AS BIGINT) AS n, CAST(grouping_id(lang, d.script, d.category) AS BIGINT) AS total FROM ({chars('documents', 'text', 'lang, ')}) x JOIN {dim} AS d(first, last, script, category) ON x.cp BETWEEN d.first AND d.last GROUP BY CUBE (lang, d.script, d.category)",
         "script_rollup": f"SELECT lang, source, d.script, CAST(sum(n) AS BIGINT) AS n, CAST(grouping_id(lang, source, d.script) AS BIGINT) AS total FROM ({chars('documents', 'text', 'lang, source, ')}) x JOIN {dim} AS d(first, last, script, category) ON x.cp BETWEEN d.first AND d.last GROUP BY ROLLUP (lang, source, d.script)",

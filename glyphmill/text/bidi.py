@@ -14,9 +14,18 @@ _REMOVED = frozenset("LRE RLE LRO RLO PDF BN".split())
 _ISOLATES = frozenset(("LRI", "RLI", "FSI"))
 
 
+# -- fixed values: mirrored pairs that names do not tell
+MORE_PAIRS = (
+    "0F3A:0F3B 0F3C:0F3D 169B:169C 2209:220C 2215:29F5 221F:2BFE 2220:29A3 2221:299B 2222:29A0 2224:2AEE 223C:223D 2243:22CD 2245:224C 2252:2253 2254:2255 "
+    "2276:2277 2278:2279 2280:2281 228F:2290 2291:2292 2298:29B8 22A6:2ADE 22A8:2AE4 22A9:2AE3 22B2:22B3 22B4:22B5 22B6:22B7 22B8:27DC 22DA:22DB 22E0:22E1 "
+    "22E2:22E3 22E4:22E5 22EA:22EB 22EC:22ED 22F0:22F1 22F2:22FA 22F3:22FB 22F4:22FC 22F6:22FD 22F7:22FE 27C8:27C9 27CB:27CD 2993:2994 2995:2996 29A4:29A5 "
+    "29C4:29C5 29CF:29D0 29F8:29F9 2A2B:2A2C 2A3C:2A3D 2A64:2A65 2A83:2A84 2A8B:2A8C 2A8F:2A90 2A91:2A92 2A93:2A94 2AAA:2AAB 2AAC:2AAD 2AD3:2AD4 2AEC:2AED "
+)
+
+
 @functools.cache
 def _mirrors() -> dict[int, int]:
-    """Pairs of opening and closing punctuation, by the names that tell them apart; used for L4 and brackets."""
+    """Mirrored pairs: by the names that tell them apart, and those stated; used for L4 and brackets."""
     out: dict[int, int] = {}
     by_name = {}
     mirrored = U.binary("Bidi_Mirrored")
@@ -32,6 +41,9 @@ def _mirrors() -> dict[int, int]:
                     other = by_name.get(n.replace(x, y))
                     if other is not None and other != cp:
                         out.setdefault(cp, other)
+    for pair in MORE_PAIRS.split():
+        a, b = (int(x, 16) for x in pair.split(":"))
+        out[a], out[b] = b, a
     return out
 
 

@@ -182,7 +182,11 @@ def test_cube_has_every_total(spark):
 
 def test_names_as_a_relation(spark):
     known = names.character_names(spark).cache()
-    assert known.count() == sum(core_names.has_name(c) for c in range(U.SIZE))
+    told = {r.cp: r.name for r in known.select("cp", "name").collect()}
+    assert all(told.get(c) == core_names.name(c) for c in range(U.SIZE) if core_names.has_name(c))
+    assert told[0x1C89] == "CYRILLIC CAPITAL LETTER TJE" and 0x378 not in told and 0xE000 not in told and 0x0A not in told
+    newer = {c for part in U.ADDED_16.split() for a, _, b in [part.partition("-")] for c in range(int(a, 16), int(b or a, 16) + 1)}
+    assert newer <= set(told)
     assert known.groupBy("key").count().filter("count > 1").count() == 0
     asked = ["latin small letter_a", "Hangul Jungseong O-E", "HANGUL JUNGSEONG OE", "MARCHEN LETTER -A", "marchen letter a", "CJK unified ideograph-4e00", "no such name", None, "TIBETAN MARK TSA -PHRU"]
     got = {r.name: r.found for r in names.find(spark.createDataFrame([(a,) for a in asked], "name string"), "name").collect()}
