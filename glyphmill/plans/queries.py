@@ -265,6 +265,15 @@ def oracle_sql() -> dict[str, str]:
     for marks, side in ((":.\u00b7\u2018\u2019\u2024\'\'", r"\p{L}"), (",;.\u2018\u2019\u2024\'\'", r"\p{Nd}")) * 2:
         joined = f"regexp_replace({joined}, '({side})[{marks}]({side})', '\\1x\\2', 'g')"
     paragraph = r"[^\n\r\x{1c}-\x{1e}\x{85}\x{2029}]*(?:\r\n|[\n\r\x{1c}-\x{1e}\x{85}\x{2029}])|[^\n\r\x{1c}-\x{1e}\x{85}\x{2029}]+"
+    # sentences: a mark after each terminator and what belongs to it, taken out again where a rule goes on
+    close, para = r"[\"''()\[\]{}\x{2018}-\x{201f}\x{ab}\x{bb}\x{2039}\x{203a}]*", r"\n\r\x{85}\x{2029}"
+    marked = "text"
+    for found, put in (
+        (rf"(\.{close}[\x20\t\x{{a0}}]*)", r"\1\x{1}"), (rf"([!?]{close}[\x20\t\x{{a0}}]*)", r"\1\x{2}"), (r"\.\x{1}(\p{Nd})", r".\1"), (r"(\p{L})\.\x{1}(\p{Lu})", r"\1.\2"), (r"(\p{L})\.\x{1}(\p{Lu})", r"\1.\2"),
+        (rf"\x{{1}}([^\p{{L}}{para}.!?\x{{1}}\x{{2}}]*\p{{Ll}})", r"\1"), (r"[\x{1}\x{2}]([-,:;\x{2013}\x{2014}.!?])", r"\1"), (rf"[\x{{1}}\x{{2}}]([{para}])", r"\1"), (rf"(\r\n|[{para}])", r"\1\x{1}"), (r"\x{2}", r"\x{1}"), (r"\x{1}$", ""),
+    ):
+        put = "'" + put.replace(r"\x{1}", "' || chr(1) || '").replace(r"\x{2}", "' || chr(2) || '") + "'"
+        marked = f"regexp_replace({marked}, '{found}', {put}, 'g')"
     out = {
         "script_category_profile": f"SELECT lang, d.script, d.category, CAST(sum(n) AS BIGINT) AS n FROM ({chars('documents', 'text', 'lang, ')}) x LEFT JOIN {dim} AS d(first, last, script, category) ON x.cp BETWEEN d.first AND d.last GROUP BY ALL",
         "utf8_lengths": "SELECT doc_id, length(text) AS n_codepoints, strlen(text) AS n_bytes, true AS valid FROM documents",
@@ -278,6 +287,9 @@ def oracle_sql() -> dict[str, str]:
         "top_characters": f"SELECT lang, CAST(cp AS BIGINT) AS cp, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, cp) AS rank FROM ({chars('documents', 'text', 'lang, ')})) WHERE rank <= 10",
         "latin_letters": f"SELECT CAST(cp AS BIGINT) AS cp, n FROM ({chars('pages', 'html', '')}) x JOIN {dim} AS d(first, last, script, category) ON x.cp BETWEEN d.first AND d.last WHERE d.category = 'Lowercase_Letter'",
         "document_words": rf"""SELECT doc_id, CAST(len(regexp_extract_all({joined}, '[\p{{L}}\p{{Nd}}_]*[\p{{L}}\p{{Nd}}][\p{{L}}\p{{Nd}}_]*')) AS BIGINT) AS n_words FROM documents WHERE regexp_matches(text, '[\p{{L}}\p{{Nd}}]')""",
+        "sentence_lengths": f"SELECT doc_id, CAST(len(s) AS BIGINT) AS n_sentences, CAST(list_max(list_transform(s, lambda x: length(x))) AS INTEGER) AS longest, CAST(list_sum(list_transform(s, lambda x: length(x))) AS BIGINT) AS n_codepoints FROM (SELECT doc_id, string_split({marked}, chr(1)) AS s FROM documents WHERE text <> '')",
+        "benchmark_words": rf"""SELECT item_id, n_words FROM (SELECT item_id, CAST(len(regexp_extract_all({joined}, '(?:^|[^\p{{L}}\p{{Nd}}_])\p{{L}}')) AS BIGINT) AS n_words FROM benchmark) WHERE n_words > 0""",
+        "bidi_paragraphs": rf"SELECT item_id, CAST(i - 1 AS INTEGER) AS i, CAST(0 AS BIGINT) AS level, CAST(0 AS BIGINT) AS highest, CAST(length(ps[i]) AS BIGINT) AS n FROM (SELECT item_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM (SELECT item_id, regexp_extract_all(text, '{paragraph}') AS ps FROM benchmark))",
         "bidi_documents": rf"SELECT doc_id, n_paragraphs, CAST(0 AS BIGINT) AS level, CAST(0 AS BIGINT) AS highest, n_codepoints FROM (SELECT doc_id, CAST(len(regexp_extract_all(text, '{paragraph}')) AS BIGINT) AS n_paragraphs, CAST(length(text) AS BIGINT) AS n_codepoints FROM documents WHERE text <> '')",
         "property_usage": f"SELECT p.property, p.value, CAST(sum(n) AS BIGINT) AS n FROM ({chars('documents', 'text', '')}) x JOIN {every} AS p(property, first, last, value) ON x.cp BETWEEN p.first AND p.last GROUP BY ALL",
         "property_lookup": f"SELECT {', '.join('d.' + p.lower() for p in LOOKED_UP)}, CAST(sum(n) AS BIGINT) AS n FROM ({chars('pages', 'html', '')}) x JOIN {_ranges(*LOOKED_UP)} AS d(first, last, {', '.join(p.lower() for p in LOOKED_UP)}) ON x.cp BETWEEN d.first AND d.last GROUP BY ALL",
