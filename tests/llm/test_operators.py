@@ -599,6 +599,25 @@ def fill(sizes, weights, cap=3):
     return [min(cap * s, w * level) for s, w in zip(sizes, weights)]
 
 
+def test_mixing_rates_are_the_optimum(spark):
+    """Rates against an independent solution of the dual: bisection for each source over single documents."""
+    rng = random.Random(6)
+    rows = [(i, "w " * rng.randint(0, 60), f"s{rng.randrange(4)}" if i % 11 else None, rng.choice([0.2, 1.0, 2.5])) for i in range(300)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string, score double"), base="score", keep=("score", "source")).collect()
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.source].append(r)
+    assert len(got) == 300 and len(by) == 5
+    for own in by.values():
+        target, some = own[0].target, [r for r in own if r.size]
+        lo, hi = -40.0, 40.0
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if sum(r.size * min(3.0, r.score * np.exp(mid)) for r in some) < target else (lo, mid)
+        assert all(abs(r.rate - min(3.0, r.score * np.exp(lo))) < 1e-5 for r in some) and all(r.rate == 0 for r in own if not r.size)
+        assert all(r.copies in (int(r.rate), int(r.rate) + 1) for r in some)
+
+
 def test_mixing(docs, empty):
     got = mixing.mix(docs, keep=("source",)).collect()
     assert len(got) == docs.count()
