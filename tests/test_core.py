@@ -1,5 +1,6 @@
 """Pure cores: published vectors, invariants, differential checks against the interpreter's tables."""
 
+import random
 import unicodedata
 
 import pytest
@@ -133,3 +134,17 @@ def test_word_and_sentence_windows(text):
     if text:
         assert segment._word(text) == segment._word_rules(text)
         assert segment._sentence(text) == segment._sentence_rules(text)
+
+
+def test_bidi_of_left_to_right_text_takes_no_passes(monkeypatch):
+    """Text without right-to-left characters: the same levels as by all rules, and a long one without them."""
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("ab 1,.+-%$()[]«»\n\té\u0301漢\u00a0\u200b\u2028😀\u0085") for _ in range(rng.randint(0, 40))) for _ in range(300)]
+    texts += [t + x + t for t in texts[:40] for x in "א٣\u202a\u2067ع\u2069"]
+    fast = [bidi.levels(t, d) for t in texts for d in ("AUTO", "LTR", "RTL")]
+    flat = bidi._flat
+    monkeypatch.setattr(bidi, "_flat", lambda text: False)
+    assert fast == [bidi.levels(t, d) for t in texts for d in ("AUTO", "LTR", "RTL")]
+    monkeypatch.setattr(bidi, "_flat", flat)
+    monkeypatch.setattr(bidi, "_resolve", None)
+    assert bidi.levels("été 12% (x) " * 50_000) == (0, [0] * 600_000)
