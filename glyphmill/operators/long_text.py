@@ -76,22 +76,13 @@ def normalize(parts: DataFrame, form: str = "NFC") -> DataFrame:
 # ---- segmentation ------------------------------------------------------------------------
 
 
-def _states(parts: DataFrame, kind: str) -> DataFrame:
-    """key, seq, state: the automaton's state after each piece.
+def _states(now: DataFrame) -> DataFrame:
+    """key, seq, state: the automaton's state after each piece, of key, seq, state, map.
 
     Pieces whose state depends on what comes before hold a map of states; it is composed with that of the pieces before,
     twice as many in each round, until none is left.
     """
-
-    def maps(batches):
-        machine = A.automaton(kind)
-        for b in batches:
-            found = [machine.after(t or "") for t in b.column(2).to_pylist()]
-            known = [None if isinstance(x, list) else x for x in found]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(known, pa.int32()), pa.array([x if isinstance(x, list) else None for x in found], pa.list_(pa.int32()))], names=["key", "seq", "state", "map"])
-
-    types = dict(parts.dtypes)
-    now = written(parts.select("key", "seq", "text").mapInArrow(maps, f"key {types['key']}, seq {types['seq']}, state int, map array<int>").withColumn("back", F.lit(1)), "states")
+    now = now.select("key", "seq", "state", "map").withColumn("back", F.lit(1))
     while not (open_ := now.filter("state IS NULL")).isEmpty():
         before = now.select(F.col("key").alias("of"), F.col("seq").alias("at"), F.col("state").alias("was"), F.col("map").alias("first"), F.col("back").alias("more"))
         met = open_.join(before, open_["key"].eqNullSafe(before["of"]) & (open_["seq"] - open_["back"] == before["at"]), "left")
@@ -104,11 +95,36 @@ def _states(parts: DataFrame, kind: str) -> DataFrame:
 
 
 def segment_starts(parts: DataFrame, kind: str = "grapheme") -> DataFrame:
-    """key, seq, starts: the places in each piece (codepoints, from 0) at which a segment of the whole text begins; kind: grapheme or word."""
+    """key, seq, starts: the places in each piece (codepoints, from 0) at which a segment of the whole text begins; kind: grapheme or word.
+
+    A piece that comes right after the one before it is read at once. Only the others, one of a batch if texts come in
+    order, wait for the state before them, and only their texts are moved.
+    """
     ship(parts.sparkSession)
     types = dict(parts.dtypes)
-    after = _states(parts, kind).select(F.col("key").alias("of"), (F.col("seq") + 1).alias("at"), "state")
-    entered = parts.join(after, parts["key"].eqNullSafe(after["of"]) & (parts["seq"] == after["at"]), "left").select("key", "seq", "text", F.coalesce("state", F.lit(0)).alias("state"))
+    what = "starts array<int>, decided boolean, waits int"
+
+    def begin(batches):
+        machine, last = A.automaton(kind), None
+        for b in batches:
+            out = []
+            for k, q, t in zip(*(b.column(i).to_pylist() for i in range(3))):
+                t = t or ""
+                entered = 0 if q == 0 else last[2] if last and last[:2] == (k, q - 1) else None
+                x = machine.after(t)
+                if isinstance(x, list) and entered is not None:
+                    x = x[entered]
+                state, open_ = (None, x) if isinstance(x, list) else (x, None)
+                last = k, q, state
+                out.append((state, open_, *((t, None, None, None) if entered is None else (None, *(machine.read(t, entered) if t else ([], None, None))))))
+            columns = zip(*out) if out else [()] * 6
+            kinds = (pa.int32(), pa.list_(pa.int32()), pa.string(), pa.list_(pa.int32()), pa.bool_(), pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["key", "seq", "state", "map", "text", "starts", "decided", "waits"])
+
+    begun = written(parts.select("key", "seq", "text").mapInArrow(begin, f"key {types['key']}, seq {types['seq']}, state int, map array<int>, text string, {what}"), "states")
+    after = _states(begun).select(F.col("key").alias("of"), (F.col("seq") + 1).alias("at"), "state")
+    late = begun.filter("text IS NOT NULL").select("key", "seq", "text")
+    entered = late.join(after, late["key"].eqNullSafe(after["of"]) & (late["seq"] == after["at"]), "left").select("key", "seq", "text", F.coalesce("state", F.lit(0)).alias("state"))
 
     def read(batches):
         machine = A.automaton(kind)
@@ -117,7 +133,8 @@ def segment_starts(parts: DataFrame, kind: str = "grapheme") -> DataFrame:
             starts, decided, waits = zip(*found) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(starts, pa.list_(pa.int32())), pa.array(decided, pa.bool_()), pa.array(waits, pa.int32())], names=["key", "seq", "starts", "decided", "waits"])
 
-    found = written(entered.mapInArrow(read, f"key {types['key']}, seq {types['seq']}, starts array<int>, decided boolean, waits int"), "starts")
+    then = written(entered.mapInArrow(read, f"key {types['key']}, seq {types['seq']}, {what}"), "starts")
+    found = begun.filter("text IS NULL").select("key", "seq", "starts", "decided", "waits").unionByName(then)
     if kind == "grapheme":  # no rule looks ahead
         return found.select("key", "seq", "starts")
     # a place left pending is decided by the next piece that decides one, or by the end of the text; both are few

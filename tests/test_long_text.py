@@ -193,3 +193,19 @@ def test_names_as_a_relation(spark):
     assert got == {a: core_names.codepoint_by_name(a) if a else None for a in asked}
     assert {r.cp for r in names.words_of_names(known.filter("cp < 128")).filter("word = 'DIGIT'").collect()} == set(range(48, 58))
     assert unicodedata.name("a") == names.with_names(spark.createDataFrame([(97,)], "cp int")).first().name
+
+
+def test_few_texts_of_pieces_are_moved(spark, monkeypatch):
+    """Pieces in order are read as they come; only the first piece of a batch may have to wait for the state before it. In any order the counts are the same."""
+    from glyphmill.operators import long_text
+
+    texts = [(i, "e\u0301x \U0001f1e6\U0001f1e7" * (60 * i)) for i in range(1, 9)]
+    parts = long_text.pieces(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1), "text", size=7)
+    kept, written = {}, long_text.written
+    monkeypatch.setattr(long_text, "written", lambda df, name: kept.setdefault(name, written(df, name)))
+    got = {r.key: r.n for r in long_text.segment_count(parts).collect()}
+    n = parts.count()
+    assert n > 1000 and kept["starts"].count() <= n // 500
+    assert got == {i: 60 * i * 4 for i, _ in texts}
+    monkeypatch.setattr(long_text, "written", written)
+    assert got == {r.key: r.n for r in long_text.segment_count(parts.repartition(5, "seq")).collect()}
