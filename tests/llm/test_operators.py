@@ -480,6 +480,22 @@ def test_pairs_in_a_crowd(spark, size):
     assert pairs_apart(spark, pairs, [" ".join(line()) for _ in range(400)]) == (0, 40)
 
 
+def test_pairs_that_share_large_keys_only(spark, monkeypatch):
+    """Lines of the same eight long words in any order: every piece is in every line, and the pairs are found, also where a key has many parts."""
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghijklmnopqrst") for _ in range(12)) for _ in range(8)]
+    pairs = []
+    for _ in range(40):
+        a = [rng.choice(words) for _ in range(30)]
+        b = list(a)
+        for i in rng.sample(range(30), 3):
+            b[i] = rng.choice(words)
+        pairs.append((" ".join(a), " ".join(b)))
+    others = [" ".join(rng.choice(words) for _ in range(rng.randint(26, 30))) for _ in range(300)]
+    monkeypatch.setattr(lines, "PART", 50, raising=False)
+    assert pairs_apart(spark, pairs, others) == (0, 40)
+
+
 def test_families_in_a_crowd(spark):
     """Families of more lines than a key compares, all with one beginning: each is one group, and no two are."""
     rng = random.Random(4)
