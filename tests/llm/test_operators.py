@@ -544,6 +544,43 @@ def test_letter_counts_never_drop_similar_lines(spark):
     assert df.filter(lines._bags_fit(bags("a"), bags("b"), F.lit(0))).count() < 100
 
 
+def test_maps_never_drop_similar_lines(spark):
+    """Maps of three-letter pieces drop no pair within the edits allowed, also of other scripts and planes, and nearly all pairs of other lines."""
+    rng = random.Random(6)
+    pairs = []
+    for _ in range(200):
+        a = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz   é漢😀") for _ in range(rng.randint(0, 700)))
+        b = list(a)
+        for _ in range(rng.randint(0, 30)):
+            i = rng.randrange(len(b) + 1)
+            b[i : i + rng.randrange(2)] = rng.choice(["", "x", "é", "😀"])
+        pairs.append((2 * len(pairs), 2 * len(pairs) + 1, a, "".join(b)))
+    lines_ = spark.createDataFrame([(h, t) for x, y, a, b in pairs for h, t in ((x, a), (y, b))], "h long, norm string")
+    maps = {r.h: r.bits for r in lines._maps(lines_).collect()}
+    assert len(maps) == 2 * len(pairs)
+    df = spark.createDataFrame([(a, b, maps[x], maps[y]) for x, y, a, b in pairs], "a string, b string, ma array<long>, mb array<long>")
+    assert df.filter(~lines._maps_fit(F.col("ma"), F.col("mb"), F.levenshtein("a", "b"))).count() == 0
+    long = [(i, "".join(rng.choice("etaoinshrdlu ") for _ in range(500))) for i in range(100)]
+    maps = [r.bits for r in lines._maps(spark.createDataFrame(long, "h long, norm string")).collect()]
+    others = spark.createDataFrame(list(zip(maps[::2], maps[1::2])), "ma array<long>, mb array<long>")
+    assert others.filter(lines._maps_fit(F.col("ma"), F.col("mb"), F.lit(50))).count() == 0
+
+
+def test_crowded_lines_are_moved_in_turns(spark, monkeypatch):
+    """The rows of shared keys are worked on in turns, none with more rows than twice half the lines, and the result is that of one turn."""
+    rng = random.Random(15)
+    words = ["".join(rng.choice("abcdefghijklmnopqrst") for _ in range(12)) for _ in range(8)]
+    each = [" ".join(rng.choice(words) for _ in range(rng.randint(26, 30))) for _ in range(60)]
+    pairs = [(a, changed(rng, a, 6)) for a in each]
+    seen, met = [], lines._met
+    monkeypatch.setattr(lines, "_met", lambda groups, *a: (seen.append(groups.count()), met(groups, *a))[1])
+    assert pairs_apart(spark, pairs)[0] == 0 and len(seen) == 1
+    monkeypatch.setattr(lines, "AT_ONCE", 10)
+    whole = seen.pop()
+    assert pairs_apart(spark, pairs)[0] == 0
+    assert len(seen) > 1 and sum(seen) == whole and max(seen) < whole
+
+
 def test_line_repeats_and_length(spark, monkeypatch):
     """Votes are of distinct rows only; lines longer than every class of length link too."""
     a = " ".join(f"word{i}" for i in range(100))
