@@ -581,6 +581,41 @@ def test_crowded_lines_are_moved_in_turns(spark, monkeypatch):
     assert len(seen) > 1 and sum(seen) == whole and max(seen) < whole
 
 
+def test_hashed_pieces_and_their_places(spark):
+    """The keys of a line are its smallest hashes, however many pieces it has, with the place of each piece that stands there only."""
+    rng = random.Random(16)
+    words = ["".join(rng.choice("abcdefgé漢") for _ in range(rng.randint(2, 7))) for _ in range(60)]
+    texts = [" ".join(rng.choice(words) for _ in range(n)) for n in (15, 30, 40, 80, 200, 600)] + ["same words " * 40 + "end", "漢" * 30 + "字" * 40]
+    df = spark.createDataFrame(list(enumerate(texts)), "h long, norm string")
+    got = {r.h: {(k.key, k.pos) for k in r.g} for r in df.select("h", lines._hashed_pieces(F.col("norm"), F.split("norm", " ")).alias("g")).collect()}
+    for h, text in enumerate(texts):
+        starts = [i for i in range(len(text) - 9) if i == 0 or text[i - 1] == " " or len(text.split(" ")) * 10 < len(text)]
+        each = sorted({text[i : i + 10] for i in starts})
+        hashes = spark.createDataFrame([(t,) for t in each], "t string").select("t", F.xxhash64("t").alias("x")).collect()
+        want = sorted((r.x, text.find(r.t) if text.find(r.t) == text.rfind(r.t) else -1) for r in hashes)[:8]
+        assert got[h] == set(want), h
+
+
+def test_alignment_is_a_bound(spark):
+    """Aligned costs are never under the edit distance, and near copies of long lines are within bounds without it, also where parts were dropped or put in."""
+    rng = random.Random(17)
+    prose = lambda n: " ".join("".join(rng.choice("etaoinshrdlé漢") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    pairs = []
+    for n in (1, 5, 30, 120, 300):
+        for _ in range(12):
+            a = prose(n)
+            b = a.split(" ")
+            for _ in range(n // 100):
+                i = rng.randrange(len(b))
+                b[i : i + rng.choice([0, 0, 5])] = prose(rng.choice([1, 5])).split(" ")
+            pairs += [(a, changed(rng, " ".join(b), n // 20), 1), (a, prose(n), 0)]
+    df = spark.createDataFrame(pairs, "a string, b string, near int").withColumn("d", F.levenshtein("a", "b"))
+    assert df.filter(lines._aligned(F.col("a"), F.col("b"), F.lit(1 << 20)) < F.col("d")).count() == 0
+    allowed = lines._allowed(F.length("a"), F.length("b"), 0.9)
+    near = df.filter((F.col("near") == 1) & (F.col("d") <= allowed))
+    assert near.count() > 40 and near.filter(lines._aligned(F.col("a"), F.col("b"), allowed) > allowed).count() <= 0.1 * near.count()
+
+
 def test_line_repeats_and_length(spark, monkeypatch):
     """Votes are of distinct rows only; lines longer than every class of length link too."""
     a = " ".join(f"word{i}" for i in range(100))
