@@ -596,6 +596,61 @@ def test_hashed_pieces_and_their_places(spark):
         assert got[h] == set(want), h
 
 
+def test_blocks_never_drop_similar_lines(spark):
+    """Blocks drop no pair within the edits allowed, also of other scripts and planes, and all pairs of other lines of thirty words or more."""
+    rng = random.Random(18)
+    prose = lambda n: " ".join("".join(rng.choice("etaoinshrdlé漢😀") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    pairs = []
+    for n in (1, 5, 30, 120):
+        for _ in range(15):
+            a = prose(n)
+            b = changed(rng, a, len(a) // 12)
+            i = rng.randrange(len(b))
+            pairs += [(a, b[:i] + rng.choice(["", "x", " zz"]) + b[i + rng.choice([0, 1, 3]) :], n), (a, prose(n), n)]
+    df = spark.createDataFrame(pairs, "a string, b string, n int").withColumn("d", F.levenshtein("a", "b"))
+    assert df.filter(~lines._blocks_fit(F.col("a"), F.col("b"), F.col("d"))).count() == 0
+    other = df.filter((F.col("n") > 5) & (F.col("d") > F.length("a") / 2))
+    assert other.count() >= 25 and other.filter(lines._blocks_fit(F.col("a"), F.col("b"), lines._allowed(F.length("a"), F.length("b"), 0.9))).count() == 0
+
+
+def test_pieces_of_long_lines_are_seldom_shared(spark):
+    """Long lines of few syllables are hardly met by lines that are not similar, and near copies always are, also where the width of the pieces changes."""
+    rng = random.Random(19)
+    parts = ["er", "th", "an", "on", "in", "re", "he", "ti", "nd", "at"]
+    prose = lambda n: " ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 3))) for _ in range(n))
+    each = [prose(rng.randint(60, 90)) for _ in range(600)]
+    for n in range(180, 230, 2):
+        a = prose(60)[:n].strip()
+        each += [a, a[:-15].strip() + "x"]
+    table = spark.createDataFrame(list(enumerate(each)), "h long, norm string")
+    met = collections.defaultdict(set)
+    for r in table.select("h", lines._pieces_of_longer(F.col("norm"), 0.9).alias("g")).collect():
+        for k in r.g:
+            met[k.key].add(r.h)
+    pairs = {(a, b) for hs in met.values() for a in hs for b in hs if a < b}
+    assert all((i, i + 1) in pairs for i in range(600, len(each), 2))
+    assert sum(b < 600 for a, b in pairs) < 600
+
+
+def test_near_copies_of_one_key_do_not_meet_again(spark, monkeypatch):
+    """Of a key's lines only those outside of its largest component meet the others: work is not the square of a family."""
+    rng = random.Random(20)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randint(3, 8)))
+    first = " ".join(word() for _ in range(30))
+    shared = " ".join(first.split(" ")[:12])
+    each = [first] + [changed(rng, first, 2) for _ in range(80)] + [shared + " " + " ".join(word() for _ in range(18)) for _ in range(2)]
+    seen, met = [], lines._met
+    monkeypatch.setattr(lines, "_met", lambda groups, *a: (seen.append((groups, met(groups, *a))), seen[-1][1])[1])
+    monkeypatch.setattr(lines, "drop", lambda *a: None)
+    found, label = lines.line_groups(spark.createDataFrame([(i, i, x) for i, x in enumerate(each)], "doc_id long, rid long, text string"))
+    label = {r.node: r.label for r in label.collect()}
+    group = [label.get(r.h, r.h) for r in found.orderBy("doc_id").collect()]
+    assert len(set(group[:81])) == 1 and len(set(group)) == 3
+    (groups, (_, open_keys)), = seen
+    assert open_keys.select("key").distinct().count() < groups.select("key").distinct().count()
+    assert 0 < open_keys.filter("rest").count() <= 2 * open_keys.select("key").distinct().count()
+
+
 def test_alignment_is_a_bound(spark):
     """Aligned costs are never under the edit distance, and near copies of long lines are within bounds without it, also where parts were dropped or put in."""
     rng = random.Random(17)
